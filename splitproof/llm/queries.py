@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bpe import count_tokens, with_tokens
 from .common import pick, table
 from .decontaminate import contamination
+from .language import identify
 from .line_dedup import drop_frequent_lines
 from .sharding import shard_documents
 from .simhash import hex_fingerprint, near_groups
@@ -34,6 +35,10 @@ def op4_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     return drop_frequent_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -48,4 +53,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hash_tree_shards, op3_simhash_mih, op4_suffix_array_decontamination, op6_line_dedup, op7_bpe_backtracking, op9_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hash_tree_shards, op3_simhash_mih, op4_suffix_array_decontamination, op5_language_id, op6_line_dedup, op7_bpe_backtracking, op9_token_counts)}
