@@ -16,6 +16,7 @@ from .line_dedup import drop_frequent_lines
 from .order_minhash import fingerprint_documents
 from .sharding import shard_documents
 from .simhash import hex_fingerprint, near_groups
+from .suffix_dedup import remove_repeats
 from .sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -54,8 +55,12 @@ def op7_bpe_backtracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hash_tree_shards, op2_order_minhash, op3_simhash_mih, op4_suffix_array_decontamination, op5_language_id, op6_line_dedup, op7_bpe_backtracking, op9_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hash_tree_shards, op2_order_minhash, op3_simhash_mih, op4_suffix_array_decontamination, op5_language_id, op6_line_dedup, op7_bpe_backtracking, op8_prefix_free_dedup, op9_token_counts)}
