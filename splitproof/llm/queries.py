@@ -14,6 +14,7 @@ from .decontaminate import contamination
 from .language import identify
 from .line_dedup import drop_frequent_lines
 from .order_minhash import fingerprint_documents
+from .pii import pseudonymise
 from .sharding import shard_documents
 from .simhash import hex_fingerprint, near_groups
 from .suffix_dedup import remove_repeats
@@ -21,6 +22,8 @@ from .sql import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
+#: Production keys come from the caller; this one makes the registered query repeatable.
+PSEUDONYM_KEY = "demonstration key"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -63,4 +66,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hash_tree_shards, op2_order_minhash, op3_simhash_mih, op4_suffix_array_decontamination, op5_language_id, op6_line_dedup, op7_bpe_backtracking, op8_prefix_free_dedup, op9_token_counts)}
+def op10_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_hash_tree_shards, op2_order_minhash, op3_simhash_mih, op4_suffix_array_decontamination, op5_language_id, op6_line_dedup, op7_bpe_backtracking, op8_prefix_free_dedup, op9_token_counts, op10_feistel_pseudonyms)}
