@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bytes of query vectors that a block may hold; larger sets go in several passes over the base.
 BLOCK_BYTES = 64 << 20
 
@@ -22,6 +24,7 @@ def nearest(base: DataFrame, queries: DataFrame) -> DataFrame:
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     blocks = max(1, -(-(size.n or 0) * (size.d or 0) * 8 // BLOCK_BYTES))
     spark, found = base.sparkSession, None
+    ship(spark)
     for b in range(blocks):
         part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "vector").toArrow()
         if not part.num_rows:
