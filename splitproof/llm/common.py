@@ -1,14 +1,14 @@
-"""What the operators of this subpackage share: exact column picking, the shared folder, written tables."""
+"""What the operators of this subpackage share: tables, exact column picking, ASCII lower case."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship, written
+
+__all__ = ["ascii_lower", "numbered", "pick", "table", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,6 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def numbered(df: DataFrame) -> DataFrame:
     """The frame with its columns renamed by position, so that names that clash (also but for case) can't be ambiguous."""
+    ship(df.sparkSession)
     return df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
 
 
@@ -24,23 +25,6 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     return numbered(df).select(*[F.col(f"__c{df.columns.index(old)}").alias(new) for new, old in names.items()])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, one of our own (a local session only)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-    return folder
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a table in the shared folder, read again: lineage ends there, and lost executors cost only the tasks that read it."""
-    path = f"{shared_folder(df.sparkSession)}/splitproof/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else; lower() does the same, faster, where every character is ASCII."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
