@@ -8,7 +8,7 @@ only if other words share its trigger. Then the words of one trigger are put in
 suffixes, and of equal strings all but the first in corpus order are repeats. So corpus order is found through the dictionary, and
 what is sorted byte by byte is the edges of repeats, not the repeats.
 
-Hashes of 64 bits stand for strings that already share a trigger.
+A hash of 48 bits stands for a string among those that share a trigger's 64 and stand equally far before it.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import pick
 
-GRAIN = 16
+GRAIN = 32
 #: Bytes that are searched for triggers at once, and the bits of a place in them; longer texts are cut (their strings are not).
 _PIECE, _PLACE = 1 << 21, 22
 #: A trigger is hot if a sample of SAMPLE documents or so has it at least HOT times; there are at most HOTTEST of them. Hot triggers are dealt out by word and string.
 SAMPLE, HOT, HOTTEST, SALTS = 2_000, 20, 20_000, 64
+#: Bytes of a string's hash that are compared.
+_HASH = 6
 _NULL = -(1 << 63)
 _ROW = "h long, c long, key long, at long"
 
@@ -235,52 +237,31 @@ def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(dict(zip(("key", "mark", "kind", "x", "y"), (np.concatenate([np.asarray(o[i], np.int64) for o in out]) for i in range(5)), strict=True)))
 
 
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, int, list, bytes, list[tuple[int, int, int]], list[bytes]]]:
-    """Streams rows sorted by (key, mark, kind) and gives each document: (key, mark, doc_ids and their counts, text, its rows (kind, x, y), its blobs)."""
-    zstd = zstandard.ZstdDecompressor()
-    now, ids, packed, rows, blobs = None, {}, b"", [], []
-    for batch in batches:
-        for key, mark, kind, x, y, doc_id, blob in zip(*(batch[n].to_pylist() for n in ("key", "mark", "kind", "x", "y", "doc_id", "blob")), strict=True):
-            if (key, mark) != now:
-                if now is not None and ids:
-                    yield *now, ids, zstd.decompress(packed), rows, blobs
-                now, ids, packed, rows, blobs = (key, mark), {}, b"", [], []
-            if kind == 0:
-                ids[doc_id] = ids.get(doc_id, 0) + 1
-                packed = blob
-            elif blob is None:
-                rows.append((kind, x, y))
-            else:
-                blobs.append(blob)
-    if now is not None and ids:
-        yield *now, ids, zstd.decompress(packed), rows, blobs
-
-
 def _looked_at(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Documents with their rows to what is compared: for each phrase under a closer look the hashes of the strings that start in
     it (g trigger; x at; blob hashes; one string a row if the trigger is hot), and intervals known to repeat (x -1, blob)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, out = xxhash.xxh3_64_intdigest, []
-        for key, mark, _, text, rows, _ in _by_document(batches):
-            known = sorted((x, y) for kind, x, y in rows if kind == 1)
-            if known:
-                a, b = _intervals(*np.array(known, np.int64).T)
-                out.append((key, key, mark, -1, np.stack([a, b], 1).astype("<i8").tobytes()))
-            for kind, x, y in rows:
-                if kind != 2:
-                    continue
-                place, left, right = (x >> 14) & ((1 << 31) - 1), (x >> 7) & 127, x & 127
-                hashes = [digest(text[p : p + length]) for p in range(place - left, place - right + 1)]
-                if y & 1:
-                    for i, v in enumerate(hashes):
-                        one = (x >> 14 << 14) | (left - i) << 7 | (left - i)
-                        out.append((int(np.uint64(v).view(np.int64)), key, mark, one, v.to_bytes(8, "little")))
-                else:
-                    out.append((y, key, mark, x, np.array(hashes, "<u8").tobytes()))
-            if len(out) >= 4096:
-                yield _compared_batch(out)
-                out = []
+        digest, zstd, out = xxhash.xxh3_64_intdigest, zstandard.ZstdDecompressor(), []
+        for batch in batches:
+            for key, mark, blob, rows in zip(*(batch[n].to_pylist() for n in ("key", "mark", "blob", "rows")), strict=True):
+                known = sorted((r["x"], r["y"]) for r in rows or () if r["kind"] == 1)
+                if known:
+                    a, b = _intervals(*np.array(known, np.int64).T)
+                    out.append((key, key, mark, -1, np.stack([a, b], 1).astype("<i8").tobytes()))
+                text = zstd.decompress(blob) if rows else b""
+                for x, y in ((r["x"], r["y"]) for r in rows or () if r["kind"] == 2):
+                    place, left, right = (x >> 14) & ((1 << 31) - 1), (x >> 7) & 127, x & 127
+                    hashes = np.array([digest(text[p : p + length]) for p in range(place - left, place - right + 1)], "<u8")
+                    short = hashes.view(np.uint8).reshape(-1, 8)[:, :_HASH]
+                    if y & 1:
+                        for i, v in enumerate(hashes.view("<i8").tolist()):
+                            out.append((v, key, mark, (x >> 14 << 14) | (left - i) << 7 | (left - i), short[i].tobytes()))
+                    else:
+                        out.append((y, key, mark, x, short.tobytes()))
+                if len(out) >= 4096:
+                    yield _compared_batch(out)
+                    out = []
         if out:
             yield _compared_batch(out)
 
@@ -316,9 +297,11 @@ def _repeats(batch: pa.RecordBatch) -> pa.RecordBatch:
     known = np.flatnonzero(done).tolist()
     keys, marks, data = [key[known]], [mark[known]], [blobs[i] for i in known]
     if len(some):
-        size = np.array([len(blobs[i]) // 8 for i in some])
+        size = np.array([len(blobs[i]) // _HASH for i in some])
         row = np.repeat(some, size)
-        value = np.frombuffer(b"".join(blobs[i] for i in some), "<u8")
+        value = np.zeros((len(row), 8), np.uint8)
+        value[:, :_HASH] = np.frombuffer(b"".join(blobs[i] for i in some), np.uint8).reshape(-1, _HASH)
+        value = value.view("<u8").ravel()
         before = np.repeat((x[some] >> 7) & 127, size) - (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size))
         # rows are in corpus order within a trigger, so a stable sort keeps the first occurrence first
         order = np.lexsort((value, before, g[row]))
@@ -341,24 +324,23 @@ def _removed(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept")
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
-        out = []
-        for _, _, ids, text, _, blobs in _by_document(batches):
-            flat = np.frombuffer(b"".join(blobs), "<i8").reshape(-1, 2)
-            flat = flat[np.argsort(flat[:, 0], kind="stable")]
-            a, b = _intervals(flat[:, 0], flat[:, 1] + length - 1)
-            kept, at = [], 0
-            for s, e in zip(a.tolist(), b.tolist(), strict=True):
-                kept.append(text[at:s])
-                at = e
-            kept.append(text[at:])
-            spans = [{"start": s, "end": e} for s, e in zip(a.tolist(), b.tolist(), strict=True)]
-            for doc_id, n in ids.items():
-                out += [(doc_id, len(text), int((b - a).sum()), len(a), spans, b"".join(kept))] * n
-            if len(out) >= 512:
-                yield pa.record_batch({n: pa.array(c, k) for n, k, c in zip(names, kinds, zip(*out, strict=True), strict=True)})
+        zstd = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
                 out = []
-        if out:
-            yield pa.record_batch({n: pa.array(c, k) for n, k, c in zip(names, kinds, zip(*out, strict=True), strict=True)})
+                for doc_id, blob, blobs in zip(*(batch.slice(at, 512)[n].to_pylist() for n in ("doc_id", "blob", "blobs")), strict=True):
+                    text = zstd.decompress(blob)
+                    flat = np.frombuffer(b"".join(blobs or ()), "<i8").reshape(-1, 2)
+                    flat = flat[np.argsort(flat[:, 0], kind="stable")]
+                    starts, ends = _intervals(flat[:, 0], flat[:, 1] + length - 1)
+                    kept, done = [], 0
+                    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                        kept.append(text[done:s])
+                        done = e
+                    kept.append(text[done:])
+                    spans = [{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                    out.append((doc_id, len(text), int((ends - starts).sum()), len(starts), spans, b"".join(kept)))
+                yield pa.record_batch({n: pa.array(c, k) for n, k, c in zip(names, kinds, zip(*out, strict=True), strict=True)})
 
     return run
 
@@ -373,7 +355,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     texts that share a doc_id stand in the order of a hash. An empty table gives no rows.
 
     Words, comparisons and intervals are dealt out by hash, and what a batch of rows repeats is settled before it is shuffled; hot
-    triggers are dealt out by word and by string. Texts, compressed, are shuffled twice. Every task streams sorted rows.
+    triggers are dealt out by word and by string. Texts, compressed, are shuffled once. Every task streams sorted rows.
     """
     if not GRAIN <= length < 128 + GRAIN:
         raise ValueError("length must be at least a grain, and its grains fewer than 128")
@@ -386,11 +368,13 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
     words = slim.select("key", "text").mapInArrow(lambda it: _words(length, hot.value)(it), _ROW)
     sifted = words.repartition("h").sortWithinPartitions("h", "c", "key", "at").mapInArrow(_sifted, "key long, mark long, kind long, x long, y long")
-    texts = slim.mapInArrow(_compressed, "key long, mark long, kind long, x long, y long, doc_id long, blob binary")
-    gathered = texts.unionByName(sifted, allowMissingColumns=True).repartition("key").sortWithinPartitions("key", "mark", "kind")
-    looked = gathered.mapInArrow(_looked_at(length), "g long, key long, mark long, x long, blob binary")
-    found = looked.repartition("g").sortWithinPartitions("g", "key", "x").mapInArrow(_ordered, "key long, mark long, blob binary").withColumn("kind", F.lit(1).cast("long"))
-    last = texts.unionByName(found, allowMissingColumns=True).repartition("key").sortWithinPartitions("key", "mark", "kind")
+    # both joins have the same left side, so its exchange is made once and read twice
+    texts = slim.mapInArrow(_compressed, "key long, mark long, doc_id long, blob binary")
+    marks = sifted.groupBy(F.col("key").alias("k"), F.col("mark").alias("m")).agg(F.collect_list(F.struct("kind", "x", "y")).alias("rows"))
+    looked = texts.join(marks, (texts["key"] == marks["k"]) & (texts["mark"] == marks["m"]), "left").mapInArrow(_looked_at(length), "g long, key long, mark long, x long, blob binary")
+    found = looked.repartition("g").sortWithinPartitions("g", "key", "x").mapInArrow(_ordered, "key long, mark long, blob binary")
+    blobs = found.groupBy(F.col("key").alias("k"), F.col("mark").alias("m")).agg(F.collect_list("blob").alias("blobs"))
+    last = texts.join(blobs, (texts["key"] == blobs["k"]) & (texts["mark"] == blobs["m"]), "left")
     return last.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
 
 
@@ -398,6 +382,5 @@ def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     zstd = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         texts = _batch_texts(batch)
-        zero = pa.array([0] * len(texts), pa.int64())
         marks = pa.array([_text_hash(t) for t in texts], pa.int64())
-        yield pa.record_batch({"key": batch["key"], "mark": marks, "kind": zero, "x": zero, "y": zero, "doc_id": batch["doc_id"], "blob": pa.array([zstd.compress(t) for t in texts], pa.binary())})
+        yield pa.record_batch({"key": batch["key"], "mark": marks, "doc_id": batch["doc_id"], "blob": pa.array([zstd.compress(t) for t in texts], pa.binary())})
