@@ -6,7 +6,7 @@ from importlib import import_module
 from types import ModuleType
 
 #: Modules that register queries.
-MODULES = ["audit", "scores", "risk"]
+MODULES = ["audit", "scores", "risk", "resampling"]
 
 
 def load() -> ModuleType:
