@@ -74,13 +74,14 @@ def hamming_pairs(points: DataFrame, most: int = 4) -> DataFrame:
     """
     n = most + 1
     edges = [64 * i // n for i in range(n + 1)]
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("bits", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
+    mask = lambda bits: F.lit((1 << bits) - 1 if bits < 64 else -1).cast("long")
+    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("bits", lo).bitwiseAND(mask(hi - lo)).alias("value")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
     dealt = points.select("id", "bits", F.explode(bands).alias("x")).select("id", "bits", "x.band", "x.value")
     a, b = (dealt.select(F.col("id").alias(s), F.col("bits").alias(f"{s}_bits"), "band", "value") for s in "ab")
     differ = F.col("a_bits").bitwiseXOR(F.col("b_bits"))
     first = F.lit(None).cast("int")
     for i, (lo, hi) in reversed(list(enumerate(zip(edges, edges[1:], strict=False)))):
-        first = F.when(F.shiftrightunsigned(differ, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) == 0, i).otherwise(first)
+        first = F.when(F.shiftrightunsigned(differ, lo).bitwiseAND(mask(hi - lo)) == 0, i).otherwise(first)
     pairs = a.join(b, ["band", "value"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= most) & (F.col("band") == first))
     return pairs.select("a", "b", F.bit_count(differ).alias("distance"))
 
