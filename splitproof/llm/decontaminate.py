@@ -104,20 +104,21 @@ def _search(blocks: list[Block]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _shards(whole):
-                texts = [words(t) for t in batch["__text"].to_pylist()]
+                texts = batch["__text"].to_pylist()
                 rows: list[list[dict]] = [x or [] for x in batch["__found"].to_pylist()]
+                counts = [0] * len(texts)
                 for block in blocks:
-                    gap = [0] * block.window
-                    get, flat, starts = block.ids.get, [], []
-                    for ws in texts:
-                        starts.append(len(flat))
-                        flat.extend([get(w, 0) for w in ws])
-                        flat += gap
-                    for d, hit in _joined(block, np.array(flat, np.int64), np.array(starts, np.int64)):
+                    get, gap, parts, starts, total = block.ids.get, np.zeros(block.window, np.int64), [], [], 0
+                    for i, t in enumerate(texts):
+                        numbers = np.array([get(w, 0) for w in words(t)], np.int64)
+                        counts[i] = len(numbers)
+                        starts.append(total)
+                        parts += (numbers, gap)
+                        total += len(numbers) + block.window
+                    for d, hit in _joined(block, np.concatenate(parts), np.array(starts, np.int64)):
                         rows[d].append(hit)
-                counts = pa.array([len(w) for w in texts], pa.int64())
                 names = [n for n in batch.schema.names if n not in ("__found", "__words")]
-                yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], pa.array(rows, _ARROW_HITS), counts], [*names, "__found", "__words"])
+                yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], pa.array(rows, _ARROW_HITS), pa.array(counts, pa.int64())], [*names, "__found", "__words"])
 
     return run
 
@@ -125,7 +126,7 @@ def _search(blocks: list[Block]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 _ARROW_HITS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item", pa.string()), ("item_start", pa.int32())]))
 
 
-def _shards(batch: pa.RecordBatch, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def _shards(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with ``most`` bytes of text or a single row."""
     sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(batch["__text"]), 0))
     start = total = 0
