@@ -40,7 +40,7 @@ def test_fired_periods(spark, parts, tmp_path):
 
 def test_deduplicated_and_flagged(spark, parts, tmp_path):
     known = spark.createDataFrame([(3,)], "user_id long")
-    got = ran(spark, op.flagged(op.deduplicated(source(spark, parts)), known, "user_id"), "append", tmp_path, "flagged")
+    got = ran(spark, op.flagged(op.deduplicated(source(spark, parts), "60 days"), known, "user_id"), "append", tmp_path, "flagged")
     assert len(got) == parts[1].count() and sum(r[-1] for r in got) == parts[1].where("user_id = 3").count()
 
 
