@@ -11,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Tables that this process has written to the shared folder.
+_PATHS: list[str] = []
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package's modules to the executors through Spark, once for each context, so that workers can import them."""
     sc = spark.sparkContext
@@ -40,5 +44,15 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """The frame as a table in the shared folder, read again: lineage ends there, and lost executors cost only the tasks that read it."""
     path = f"{shared_folder(df.sparkSession)}/splitproof/{label}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written, once no frame that reads them is needed any more; gives their number."""
+    n = len(_PATHS)
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
