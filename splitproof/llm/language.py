@@ -159,6 +159,11 @@ def identify(docs: DataFrame, filters: Filters | None = None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least_known: float = 0.0, filters: Filters | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose language is determined and whose language knows over ``least_known`` of their n-grams."""
-    rows = _predicted(docs, filters or fit(docs)).where((F.col("__lang") != UNDETERMINED) & (F.col("__known") > least_known))
+    """The rows of ``docs``, all columns kept, whose language is determined and, where ``least_known`` is above 0, whose language knows over that share of their n-grams.
+
+    At 0 only ``und`` goes: a text with letters stays even if no language knows any of its n-grams.
+    """
+    rows = _predicted(docs, filters or fit(docs)).where(F.col("__lang") != UNDETERMINED)
+    if least_known > 0:
+        rows = rows.where(F.col("__known") > least_known)
     return rows.select(*[f"__c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -325,3 +325,11 @@ def test_grams_of_a_language():
     assert grams("12 !") is None and len(grams("a")) == 1 and len(grams("Abc, def")) == 6
     f = Filters(["de", "en"], [], 1)
     assert f.predict("words") == ("en", 0.0, 0.0) and f.predict(None)[0] == "und" and Filters([], []).predict("words")[0] == "und"
+
+
+def test_only_undetermined_texts_are_rejected(spark):
+    from splitproof.llm.language import Filters, keep_identified
+
+    docs = spark.createDataFrame([(1, "letters that no filter knows"), (2, "A."), (3, "12 !"), (4, ""), (5, None)], "doc_id long, text string")
+    kept = lambda *least: sorted(r.doc_id for r in keep_identified(docs, *least, filters=Filters(["de", "en"], [], 1)).collect())
+    assert kept() == [1, 2] and kept(0.1) == []
