@@ -83,45 +83,86 @@ def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.weighted_sample(records(spark, sf_dir).select("tree", "rel"), "rel", "tree", 200)
 
 
-BOOT = f"""{scores.NN}, cells AS (SELECT nn_id % 17 AS g, truth, pred, count(*) AS n FROM nn GROUP BY ALL), gs AS (SELECT g, row_number() OVER (ORDER BY {_draw("'0-order'", "g")}, g) - 1 AS place FROM (SELECT DISTINCT g FROM cells)),
-picks AS (SELECT replicate, {_draw("'0-draw'", "replicate", "i")} % (SELECT count(*) FROM gs) AS place FROM (SELECT unnest(range(200)) AS replicate), (SELECT unnest(range(1, (SELECT count(*) FROM gs) + 1)) AS i)),
+def _boot_sql(replicates: int) -> str:
+    return f"""{scores.NN}, cells AS (SELECT nn_id % 17 AS g, truth, pred, count(*) AS n FROM nn GROUP BY ALL), gs AS (SELECT g, row_number() OVER (ORDER BY {_draw("'0-order'", "g")}, g) - 1 AS place FROM (SELECT DISTINCT g FROM cells)),
+picks AS (SELECT replicate, {_draw("'0-draw'", "replicate", "i")} % (SELECT count(*) FROM gs) AS place FROM (SELECT unnest(range({replicates})) AS replicate), (SELECT unnest(range(1, (SELECT count(*) FROM gs) + 1)) AS i)),
 b AS (SELECT replicate, truth, pred, sum(n)::BIGINT AS n FROM picks JOIN gs USING (place) JOIN cells USING (g) GROUP BY ALL)"""
 
 
-def _boot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _boot(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
     cells = metrics.confusion(scores.predictions(spark, sf_dir).withColumn("g", F.col("nn_id") % 17), "g")
-    return op.bootstrap_counts(cells, "g", 200)
+    return op.bootstrap_counts(cells, "g", replicates)
 
 
-@query(f"""WITH {BOOT}, r AS (SELECT replicate, truth, sum(n) FILTER (truth = pred) AS hit, sum(n) AS n FROM b GROUP BY replicate, truth), m AS (SELECT replicate, avg(coalesce(hit, 0) / n) AS v, count(*) AS k FROM r GROUP BY replicate), f AS (SELECT v FROM m WHERE k = (SELECT count(DISTINCT truth) FROM cells))
-SELECT count(*) AS replicates, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM f""")
-def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 95 % interval of the balanced accuracy from groups resampled; replicates that miss a class are left out."""
-    b = _boot(spark, sf_dir)
+def _interval_sql(replicates: int) -> str:
+    return f"""WITH {_boot_sql(replicates)}, r AS (SELECT replicate, truth, sum(n) FILTER (truth = pred) AS hit, sum(n) AS n FROM b GROUP BY replicate, truth), m AS (SELECT replicate, avg(coalesce(hit, 0) / n) AS v, count(*) AS k FROM r GROUP BY replicate), f AS (SELECT v FROM m WHERE k = (SELECT count(DISTINCT truth) FROM cells))
+SELECT count(*) AS replicates, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM f"""
+
+
+def _interval(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
+    b = _boot(spark, sf_dir, replicates)
     recalls = metrics.per_class(b, "replicate").where("support > 0").groupBy("replicate").agg(F.avg("recall").alias("v"), F.count(F.lit(1)).alias("k"))
     classes = scores.predictions(spark, sf_dir).agg(F.count_distinct("truth").alias("classes"))
     full = recalls.join(F.broadcast(classes)).where("k = classes")
     return full.agg(F.count(F.lit(1)).alias("replicates"), F.round(F.percentile("v", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("v", F.lit(0.975)), 6).alias("high"))
 
 
+@query(_interval_sql(200))
+def bootstrap_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 95 % interval of the balanced accuracy from groups resampled; replicates that miss a class are left out. 200 replicates."""
+    return _interval(spark, sf_dir, 200)
+
+
+@query(_interval_sql(2000))
+def bootstrap_interval_2000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval from the reference's 2,000 replicates."""
+    return _interval(spark, sf_dir, 2000)
+
+
 _REPLICATES = 20
-PERMUTED = f"""{RECORDS}, five AS (SELECT rel, sha256, substr(label, 4)::INT % 5 AS label FROM records), fixed AS (SELECT label AS dealt, row_number() OVER (ORDER BY {_draw("'1729-fixed'", "rel")}, rel) AS place FROM five),
-placed AS (SELECT replicate, sha256, row_number() OVER (PARTITION BY replicate ORDER BY {_draw("1729", "replicate", "rel")}, rel) AS place FROM five, (SELECT unnest(range({_REPLICATES})) AS replicate)),
+
+
+def _permuted_sql(replicates: int) -> str:
+    return f"""{RECORDS}, five AS (SELECT rel, sha256, substr(label, 4)::INT % 5 AS label FROM records), fixed AS (SELECT label AS dealt, row_number() OVER (ORDER BY {_draw("'1729-fixed'", "rel")}, rel) AS place FROM five),
+placed AS (SELECT replicate, sha256, row_number() OVER (PARTITION BY replicate ORDER BY {_draw("1729", "replicate", "rel")}, rel) AS place FROM five, (SELECT unnest(range({replicates})) AS replicate)),
 per AS (SELECT replicate, sha256, count(DISTINCT dealt) AS labels FROM placed JOIN fixed USING (place) GROUP BY replicate, sha256 HAVING count(*) > 1),
 null_ AS (SELECT replicate, count(*) FILTER (labels > 1) AS conflicted FROM per GROUP BY replicate)"""
 
 
-@query(f"WITH {PERMUTED} SELECT replicate, conflicted FROM null_")
+def _test_sql(replicates: int) -> str:
+    return f"""WITH {_permuted_sql(replicates)}, o AS (SELECT count(*) AS observed FROM (SELECT sha256 FROM five GROUP BY sha256 HAVING count(DISTINCT label) > 1))
+SELECT any_value(observed) AS observed, count(*) AS replicates, round(avg(conflicted), 9) AS null_mean, min(conflicted) AS null_min, max(conflicted) AS null_max, round(avg((conflicted >= observed)::INT), 9) AS p_high, round(avg((conflicted <= observed)::INT), 9) AS p_low,
+  round(1.0::DOUBLE / (count(*) + 1), 9) AS floor, count(*) FILTER (conflicted >= 0.8 * observed AND conflicted <= 1.25 * observed) AS alike FROM null_, o"""
+
+
+def _null(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
+    return op.permuted_conflicts(five_way(spark, sf_dir), "rel", "sha256", "label", replicates)
+
+
+def _test(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
+    observed = audit.conflicts(five_way(spark, sf_dir), "label").select(F.col("conflicted").alias("observed"))
+    return op.permutation_summary(_null(spark, sf_dir, replicates), observed)
+
+
+@query(f"WITH {_permuted_sql(_REPLICATES)} SELECT replicate, conflicted FROM null_")
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R15."""
-    return op.permuted_conflicts(five_way(spark, sf_dir), "rel", "sha256", "label", _REPLICATES)
+    """R15, with 20 permutations."""
+    return _null(spark, sf_dir, _REPLICATES)
 
 
-@query(f"""WITH {PERMUTED}, o AS (SELECT count(*) AS observed FROM (SELECT sha256 FROM five GROUP BY sha256 HAVING count(DISTINCT label) > 1))
-SELECT any_value(observed) AS observed, count(*) AS replicates, round(avg(conflicted), 9) AS null_mean, min(conflicted) AS null_min, max(conflicted) AS null_max, round(avg((conflicted >= observed)::INT), 9) AS p_high, round(avg((conflicted <= observed)::INT), 9) AS p_low,
-  round(1.0::DOUBLE / (count(*) + 1), 9) AS floor, count(*) FILTER (conflicted >= 0.8 * observed AND conflicted <= 1.25 * observed) AS alike FROM null_, o""")
+@query(f"WITH {_permuted_sql(2000)} SELECT replicate, conflicted FROM null_")
+def permutation_null_2000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R15, with the reference's 2,000 permutations."""
+    return _null(spark, sf_dir, 2000)
+
+
+@query(_test_sql(_REPLICATES))
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R15, R16."""
-    rows = five_way(spark, sf_dir)
-    observed = audit.conflicts(rows, "label").select(F.col("conflicted").alias("observed"))
-    return op.permutation_summary(op.permuted_conflicts(rows, "rel", "sha256", "label", _REPLICATES), observed)
+    """R15, R16, with 20 permutations."""
+    return _test(spark, sf_dir, _REPLICATES)
+
+
+@query(_test_sql(2000))
+def permutation_test_2000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R15, R16, with the reference's 2,000 permutations."""
+    return _test(spark, sf_dir, 2000)
