@@ -24,7 +24,7 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.-]){_OCTET}(?:\.{_OCTET}){{3}}(?![\w-]|\.\d)",
-    "iso_date": r"(?<![\w/-])\d{4}-\d{2}-\d{2}(?![\w/-])",
+    "iso_date": r"(?<![\w/-])\d{4}-\d{2}-\d{2}(?=[Tt]\d{2}|(?![\w/-]))",
     "slash_date": r"(?<![\w/-])\d{2}/\d{2}/\d{4}(?![\w/-])",
     "dot_date": r"(?<![\w.-])\d{2}\.\d{2}\.\d{4}(?![\w-]|\.\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w)",
@@ -102,6 +102,12 @@ def _pseudonym(m: str, key: str) -> str:
         moved = _number("cast(n / 773 AS int)", "n % 773", 189, 773, key, "'date'")
         return _once(days, "n", f"IF(n BETWEEN 0 AND 146096, date_format(date_add(DATE'1800-01-01', cast({moved} AS int)), '{form}'), NULL)")
 
+    def day_first() -> str:
+        """Dates that can't be month first, permuted until the day is over 12 again, so that none meets a month-first pseudonym."""
+        step = _number("cast(ww / 773 AS int)", "ww % 773", 189, 773, key, "'date'")
+        walk = f"aggregate(sequence(0, 60), cast(n AS bigint), (ww, kk) -> IF(kk = 0 OR day(date_add(DATE'1800-01-01', cast(ww AS int))) <= 12 OR ww > 146096, {step}, ww))"
+        return _once(f"datediff(try_to_date({m}, 'dd/MM/yyyy'), DATE'1800-01-01')", "n", f"IF(n BETWEEN 0 AND 146096, date_format(date_add(DATE'1800-01-01', cast({walk} AS int)), 'dd/MM/yyyy'), NULL)")
+
     code = f"IF({m} RLIKE '^[+][0-9]{{1,3}}[^0-9]', regexp_extract({m}, '^[+]([0-9]{{1,3}})', 1), substr({m}, 2, 1))"
     local = _once(_string("d", key, "concat('phone', code)"), "q", _put_back("t", "q"))
     rest = _once(_DIGITS.format("t"), "d", f"IF(length(d) BETWEEN 6 AND 13, {local}, NULL)")
@@ -115,7 +121,7 @@ def _pseudonym(m: str, key: str) -> str:
     check = "concat(q, cast((10 - {} % 10) % 10 AS string))".format(_luhn("concat(q, '0')"))
     moved = _once(_string("left(d, length(d) - 1)", key, "'card'"), "q", _once(check, "w", _put_back(m, "w")))
     card = _once(_DIGITS.format(m), "d", f"IF({_luhn('d')} % 10 = 0, {moved}, NULL)")
-    made = {"email": mail, "iban": iban, "ip": ip, "iso_date": date("yyyy-MM-dd"), "slash_date": date("MM/dd/yyyy"), "dot_date": date("dd.MM.yyyy"), "phone": phone, "us_phone": us, "ssn": ssn, "card": card}
+    made = {"email": mail, "iban": iban, "ip": ip, "iso_date": date("yyyy-MM-dd"), "slash_date": f"IF(try_to_date({m}, 'MM/dd/yyyy') IS NULL, {day_first()}, {date('MM/dd/yyyy')})", "dot_date": date("dd.MM.yyyy"), "phone": phone, "us_phone": us, "ssn": ssn, "card": card}
     cases = " ".join(f"WHEN {is_(kind)} THEN named_struct('kind', '{kind}', 'value', {value})" for kind, value in made.items())
     return f"CASE {cases} ELSE named_struct('kind', '', 'value', CAST(NULL AS string)) END"
 
@@ -124,7 +130,7 @@ def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """``docs``, all columns kept, with ``text`` rewritten and ``n_found`` (candidates), ``n_replaced`` (long), ``kinds`` (those replaced, in text order) after its own.
 
     Null texts stay null and empty ones empty, with zeros and no kinds. Rows that repeat come out alike; an empty table gives no rows.
-    Slashed dates are month first. Dates before 1800 or after 2199 stay. Each row is rewritten where it is read; nothing is shuffled.
+    Slashed dates are month first, or day first where that is no date. Dates before 1800 or after 2199 stay. Each row is rewritten where it is read; nothing is shuffled.
     """
     text, secret = f"__c{docs.columns.index('text')}", "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
     rows = numbered(docs).withColumn("__found", F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(f"({_ALL})"), F.lit(0))))

@@ -333,3 +333,12 @@ def test_only_undetermined_texts_are_rejected(spark):
     docs = spark.createDataFrame([(1, "letters that no filter knows"), (2, "A."), (3, "12 !"), (4, ""), (5, None)], "doc_id long, text string")
     kept = lambda *least: sorted(r.doc_id for r in keep_identified(docs, *least, filters=Filters(["de", "en"], [], 1)).collect())
     assert kept() == [1, 2] and kept(0.1) == []
+
+
+def test_dates_before_times_and_day_first(spark):
+    from splitproof.llm.pii import pseudonymise
+
+    texts = ["2024-05-01T10:00:00Z", "2024-05-01", "31/12/1999", "12/11/1999", "30/02/2001"]
+    out = {r.doc_id: r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    assert out[0] == out[1] + "T10:00:00Z" and out[1] != texts[1]
+    assert re.match(r"(1[3-9]|2\d|3[01])/(0\d|1[0-2])/\d{4}$", out[2]) and out[2] != texts[2] and out[3] != texts[3] and out[4] == texts[4]
