@@ -33,6 +33,8 @@ PATTERNS = {
     "card": r"(?<![\w-])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,7}|\d{4}(?:-\d{4}){2}-\d{1,7}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\w-])",
 }
 _ALL = "|".join(PATTERNS.values())
+#: Country codes are prefix-free: one digit, those of two digits, else three.
+_COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _DIGITS = "regexp_replace({}, '[^0-9]', '')"
 
 
@@ -108,10 +110,9 @@ def _pseudonym(m: str, key: str) -> str:
         walk = f"aggregate(sequence(0, 60), cast(n AS bigint), (ww, kk) -> IF(kk = 0 OR day(date_add(DATE'1800-01-01', cast(ww AS int))) <= 12 OR ww > 146096, {step}, ww))"
         return _once(f"datediff(try_to_date({m}, 'dd/MM/yyyy'), DATE'1800-01-01')", "n", f"IF(n BETWEEN 0 AND 146096, date_format(date_add(DATE'1800-01-01', cast({walk} AS int)), 'dd/MM/yyyy'), NULL)")
 
-    code = f"IF({m} RLIKE '^[+][0-9]{{1,3}}[^0-9]', regexp_extract({m}, '^[+]([0-9]{{1,3}})', 1), substr({m}, 2, 1))"
-    local = _once(_string("d", key, "concat('phone', code)"), "q", _put_back("t", "q"))
-    rest = _once(_DIGITS.format("t"), "d", f"IF(length(d) BETWEEN 6 AND 13, {local}, NULL)")
-    phone = _once(code, "code", _once(f"substr({m}, length(code) + 2)", "t", f"concat('+', code, {rest})"))
+    code = f"regexp_extract(d, '{_COUNTRY}', 0)"
+    local = _once(_string("substr(d, length(code) + 1)", key, "concat('phone', code)"), "q", _once("concat(code, q)", "w", _put_back(m, "w")))
+    phone = _once(_DIGITS.format(m), "d", _once(code, "code", f"IF(length(d) BETWEEN 7 AND 16, {local}, NULL)"))
     us = _once(_DIGITS.format(m), "d", _once(_string("d", key, "'phone1'"), "q", _put_back(m, "q")))
     area, group, serial = (f"cast(split({m}, '-')[{i}] AS int)" for i in range(3))
     valid = f"{area} NOT IN (0, 666) AND {area} < 900 AND {group} > 0 AND {serial} > 0"

@@ -342,3 +342,13 @@ def test_dates_before_times_and_day_first(spark):
     out = {r.doc_id: r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
     assert out[0] == out[1] + "T10:00:00Z" and out[1] != texts[1]
     assert re.match(r"(1[3-9]|2\d|3[01])/(0\d|1[0-2])/\d{4}$", out[2]) and out[2] != texts[2] and out[3] != texts[3] and out[4] == texts[4]
+
+
+def test_phone_numbers_keep_their_link_across_separators(spark):
+    from splitproof.llm.pii import pseudonymise
+
+    texts = ["+44 20 7946 0958", "+442079460958", "+44-20-7946-0958", "+353 1234 5678", "+35312345678", "+1 644 555 7859", "644-555-7859"]
+    out = {r.doc_id: r.text for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").collect()}
+    digits = [re.sub(r"\D", "", out[i]) for i in range(len(texts))]
+    assert digits[0] == digits[1] == digits[2] != "442079460958" and digits[0][:2] == "44" and out[0][3] == " " and out[2][3] == "-"
+    assert digits[3] == digits[4] != "35312345678" and digits[3][:3] == "353" and digits[5] == "1" + digits[6] != "16445557859"
