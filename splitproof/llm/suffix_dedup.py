@@ -1,19 +1,22 @@
-"""Operator 8, suffix-array dedup by prefix-free parsing.
+"""Operator 8, suffix-array dedup by prefix-free parsing, in shards.
 
-A rolling hash of GRAIN bytes picks triggers: of the grains in each ``length``-byte string the one of least hash, the leftmost of
-equals. Equal strings pick equal triggers at equal places, wherever they stand. Triggers cut the texts into phrases, each with the
-strings that start there: those that pick its trigger. A phrase with the context that these strings reach into is a word of the
-dictionary. Where a word occurs again, all its strings do, so only the first occurrence of each word is looked at closer, and that
-only if other words share its trigger. Then the words of one trigger are put in order of the strings that start at each of their
-suffixes, and of equal strings all but the first in corpus order are repeats. So corpus order is found through the dictionary, and
-what is sorted byte by byte is the edges of repeats, not the repeats.
+Parse: a rolling hash of GRAIN bytes picks triggers: of the grains in each ``length``-byte string the one of least hash, the
+leftmost of equals. Equal strings pick equal triggers at equal places, wherever they stand. Triggers cut the texts into phrases,
+each with the strings that start there: those that pick its trigger. A phrase with the context that these strings reach into is a
+word. The parse has a row for each word: its trigger, its name, its document and its place, which is corpus order.
 
-A hash of 48 bits stands for a string among those that share a trigger's 64 and stand equally far before it.
+Dictionary: the distinct words. Where a word occurs again, all its strings do, so only the first occurrence of each word, in the
+order of the parse, enters the dictionary, and that only if other words share its trigger: no string of the others can occur in
+another word. The dictionary is dealt out by trigger, so that equal strings meet in one shard, and each shard builds the suffix
+array of its words byte by byte, by prefix doubling to the depth of a string (words hold the context of their strings, so no
+suffix goes on in the next phrase). Suffixes that agree to that depth stand together; parse and suffix array combine into corpus
+order, and of each such run all but the first repeat.
+
+Words are named by their trigger's 64-bit hash and 64 bits of a hash of their own; a document is its doc_id and 64 bits of its text's hash.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,12 +32,15 @@ from .common import pick
 GRAIN = 32
 #: Bytes that are searched for triggers at once, and the bits of a place in them; longer texts are cut (their strings are not).
 _PIECE, _PLACE = 1 << 21, 22
-#: A trigger is hot if a sample of SAMPLE documents or so has it at least HOT times; there are at most HOTTEST of them. Hot triggers are dealt out by word and string.
+#: A trigger is hot if a sample of SAMPLE documents or so has it at least HOT times; there are at most HOTTEST of them. Their words are dealt out by name as well.
 SAMPLE, HOT, HOTTEST, SALTS = 2_000, 20, 20_000, 64
-#: Bytes of a string's hash that are compared.
-_HASH = 6
+#: Words of one trigger that a shard sorts together at most. Those of a trigger with more are compared string by string, by 128-bit hashes.
+CROWD = 4_096
+#: Strings of such triggers that are settled among themselves before they are shuffled.
+_SETTLE = 100_000
 _NULL = -(1 << 63)
-_ROW = "h long, c long, key long, at long"
+_ROW = "h long, c long, key long, mark long, at long"
+_STRING = "g long, d long, key long, mark long, x long, blob binary"
 
 
 def _grains(data: np.ndarray) -> np.ndarray:
@@ -80,13 +86,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _packed(text: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """One non-negative long that sorts by text and place: 17 bits of the text's hash, its trigger's place (31), and how far before it the strings start (7 + 7 bits)."""
-    return (text << 45) | (place << 14) | (left << 7) | right
+def _packed(place: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One non-negative long that sorts by a trigger's place, with how far before it the strings start (7 + 7 bits)."""
+    return (place << 14) | (left << 7) | right
 
 
 def _text_hash(data: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(data) >> 47
+    return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
 def _intervals(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +133,7 @@ def _joined(held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, list[tuple[
 
 
 def _words(length: int, hot: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts to words: (h trigger, c word, key document, at place).
+    """Texts to the parse: (h trigger, c name, key and mark document, at place).
 
     What a batch repeats itself is settled there: only a word's first occurrence is passed on; the others become rows whose ``at``
     is negative and whose c holds an interval of starts that repeat. ``hot`` None: only the triggers, for the sample.
@@ -137,7 +143,7 @@ def _words(length: int, hot: np.ndarray | None) -> Callable[[Iterator[pa.RecordB
         for batch in batches:
             texts, keys = _batch_texts(batch), batch["key"].to_numpy()
             marks = np.array([_text_hash(t) for t in texts], np.int64)
-            cols: list[list[np.ndarray]] = [[], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for data, parts in _cut(texts, length):
                 ends = np.array([e for *_, e in parts])
                 lo, hi, place, h = phrases(data, ends, length)
@@ -155,169 +161,248 @@ def _words(length: int, hot: np.ndarray | None) -> Callable[[Iterator[pa.RecordB
                     at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
                     burns = hot[at] == h
                     h[burns] = _mix(h[burns] + c[burns] % np.uint64(SALTS)) | np.uint64(1)
-                for x, col in zip((h.view(np.int64), c.view(np.int64), keys[doc], _packed(marks[doc], place + back[part], place - lo, place - hi)), cols, strict=True):
+                for x, col in zip((h.view(np.int64), c.view(np.int64), keys[doc], marks[doc], _packed(place + back[part], place - lo, place - hi)), cols, strict=True):
                     col.append(x)
             if not cols[0]:
                 continue
             if hot is None:
                 yield pa.record_batch({"h": np.concatenate(cols[0]) & ~np.int64(1)})
             else:
-                yield _settled(*(np.concatenate(x) for x in cols))
+                yield _settled(np.stack([np.concatenate(x) for x in cols]))
 
     return run
 
 
-def _settled(h: np.ndarray, c: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def _settled(rows: np.ndarray) -> pa.RecordBatch:
+    """A batch's rows (h, c, key, mark, at) with only the first occurrence of each word, and intervals for the others."""
+    c = rows[1]
     order = np.argsort(c)
     again = c[order][1:] == c[order][:-1]
-    some = order[np.r_[False, again] | np.r_[again, False]]
-    some = some[np.lexsort((at[some], key[some], c[some], h[some]))]
-    same = np.r_[False, (c[some][1:] == c[some][:-1]) & (h[some][1:] == h[some][:-1])]
-    gone = np.zeros(len(h), bool)
-    gone[some[same]] = True
-    twin = np.r_[False, (key[some][1:] == key[some][:-1]) & (at[some][1:] == at[some][:-1])] & same
-    later = some[same & ~twin]  # a twin is the row above read again: its interval is known, or it is the first occurrence itself
-    k, t, a, b = _covered(key[later], at[later])
-    rows = (np.concatenate(x) for x in ((h[~gone], _mix(k.view(np.uint64) ^ a.view(np.uint64)).view(np.int64)), (c[~gone], (a << 32) | b), (key[~gone], k), (at[~gone], -1 - t)))
-    return pa.record_batch(dict(zip(("h", "c", "key", "at"), rows, strict=True)))
-
-
-def _covered(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, text hash, first start, end of starts) of the intervals that the phrases ``at`` cover, joined where they touch."""
-    order = np.lexsort((at, key))
-    key, at = key[order], at[order]
-    text, place = at >> 45, (at >> 14) & ((1 << 31) - 1)
-    a, b = place - ((at >> 7) & 127), place - (at & 127) + 1
+    some = order[np.r_[False, again] | np.r_[again, False]] if len(again) else order[:0]
+    h, c, key, mark, at = rows[:, some]
+    some = some[np.lexsort((at, mark, key, c, h))]
+    new, twin = _steps(rows[:, some], None)
+    gone = np.zeros(rows.shape[1], bool)
+    gone[some[~new]] = True
+    intervals = _covered(*rows[2:, some[~new & ~twin]])  # a twin is the row above read again: its interval is known, or it is the first occurrence itself
+    key, mark, a, b = intervals
+    spread = _mix(key.view(np.uint64) ^ mark.view(np.uint64) ^ a.view(np.uint64)).view(np.int64)
+    made = np.concatenate([rows[:, ~gone], np.stack([spread, (a << 32) | b, key, mark, np.full(len(a), -1)])], 1)
+    return pa.record_batch(dict(zip(("h", "c", "key", "mark", "at"), made, strict=True)))
+
+
+def _steps(rows: np.ndarray, last: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (h, c, key, mark, at) in that order, ``last`` before them: where a new word begins, and where a row is the one before it again."""
+    if not rows.shape[1]:
+        return np.zeros(0, bool), np.zeros(0, bool)
+    same = rows[:, 1:] == rows[:, :-1]
+    first = np.zeros(5, bool) if last is None else rows[:, 0] == last
+    same = np.concatenate([first[:, None], same], 1)
+    new = ~(same[0] & same[1])
+    return new, same.all(0)
+
+
+def _covered(key: np.ndarray, mark: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, mark, first start, end of starts) of the intervals that the phrases ``at`` cover, joined where they touch."""
+    order = np.lexsort((at, mark, key))
+    key, mark, at = key[order], mark[order], at[order]
+    place = at >> 14
+    return _runs(key, mark, place - ((at >> 7) & 127), place - (at & 127) + 1)
+
+
+def _runs(key: np.ndarray, mark: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of starts, sorted by document and start and disjoint but for repeats, joined where they touch."""
     if not len(key):
-        return key, text, a, b
-    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (a[1:] > b[:-1])])
-    last = np.r_[new[1:], len(key)] - 1
-    return key[new], text[new], a[new], b[last]
+        return key, mark, a, b
+    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (a[1:] > b[:-1])])
+    return key[new], mark[new], a[new], b[np.r_[new[1:], len(key)] - 1]
 
 
 def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams words sorted by (h, c, key, at): later occurrences of a word are intervals that repeat (kind 1: x start, y end); a
-    first occurrence is passed on for a closer look (kind 2: x at, y h) if another word has its trigger, or that is hot."""
-    g = word = whose = where = None  # the last row
-    held, several = None, False  # the first word of its trigger, until a second one comes
+    """Streams the parse sorted by (h, c, key, mark, at): later occurrences of a word are intervals that repeat (kind 1: x start, y
+    end); a first occurrence enters the dictionary (kind 2: x at) if another word has its trigger. Words of triggers that are hot
+    or have more than CROWD rows are of kind 3. At most CROWD rows and a batch are held."""
+    held, last = np.empty((5, 0), np.int64), None  # rows of a trigger that may go on, or the last row of one that is crowded
     for batch in batches:
-        h, c, key, at = (batch[n].to_numpy() for n in ("h", "c", "key", "at"))
-        done = at < 0
-        out = [(key[done], -1 - at[done], np.full(done.sum(), 1), c[done] >> 32, c[done] & 0xFFFFFFFF)]
-        h, c, key, at = h[~done], c[~done], key[~done], at[~done]
-        if len(h):
-            new_h = np.r_[g is None or h[0] != g, h[1:] != h[:-1]]
-            new_c = new_h | np.r_[c[0] != word if word is not None else True, c[1:] != c[:-1]]
-            twin = ~new_c & np.r_[key[0] == whose and at[0] == where, (key[1:] == key[:-1]) & (at[1:] == at[:-1])]
-            # a trigger's rows in this batch, and how many words they begin
-            first = np.flatnonzero(new_c)
-            group = np.cumsum(new_h)
-            words_in = np.bincount(group[first], minlength=group[-1] + 1)
-            if not new_h[0]:  # the trigger went on from the batch before
-                if held is not None and words_in[0]:
-                    out.append(tuple(np.array([v]) for v in (held[0], held[1] >> 45, 2, held[1], g)))
-                    held = None
-                several = several or words_in[0] > 0
-                words_in[0] += 2 if several else 1
-            if new_h.any():
-                held = None
-            burns = (h[first] & 1) == 1
-            close = first[(words_in[group[first]] > 1) | burns]
-            tail = words_in[group[-1]] > 1
-            if new_h.any() or not several:
-                begins = first[group[first] == group[-1]]
-                if not tail and len(begins) and not h[-1] & 1:
-                    held = (key[begins[0]], at[begins[0]])
-                several = bool(tail or h[-1] & 1)
-            out.append((key[close], at[close] >> 45, np.full(len(close), 2), at[close], h[close]))
-            later = np.flatnonzero(~new_c & ~twin)
-            k, t, a, b = _covered(key[later], at[later])
-            out.append((k, t, np.full(len(k), 1), a, b))
-            g, word, whose, where = h[-1], c[-1], key[-1], at[-1]
-        yield pa.record_batch(dict(zip(("key", "mark", "kind", "x", "y"), (np.concatenate([np.asarray(o[i], np.int64) for o in out]) for i in range(5)), strict=True)))
+        rows = np.stack([batch[n].to_numpy() for n in ("h", "c", "key", "mark", "at")])
+        done = rows[:, rows[4] < 0]
+        out = [(done[2], done[3], np.full(done.shape[1], 1), done[1] >> 32, done[1] & 0xFFFFFFFF)]
+        rows = np.concatenate([held, rows[:, rows[4] >= 0]], 1)
+        if rows.shape[1]:
+            if last is not None:  # a crowded trigger goes on
+                n = int(np.searchsorted(rows[0], last[0], "right"))
+                out += _first_words(rows[:, :n], last, True)
+                last, rows = (rows[:, n - 1] if n else last) if n == rows.shape[1] else None, rows[:, n:]
+            cut = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
+            out += _first_words(rows[:, :cut], None, False)
+            held = rows[:, cut:]
+            if held.shape[1] > CROWD:
+                out += _first_words(held, None, True)
+                held, last = held[:, :0], held[:, -1]
+        yield _sifted_batch(out)
+    yield _sifted_batch(_first_words(held, None, False))
+
+
+def _first_words(rows: np.ndarray, last: np.ndarray | None, crowded: bool) -> list[tuple[np.ndarray, ...]]:
+    if not rows.shape[1]:
+        return []
+    new, twin = _steps(rows, last)
+    group = np.cumsum(np.r_[True, rows[0, 1:] != rows[0, :-1]]) - 1
+    several = np.bincount(group[new], minlength=group[-1] + 1) > 1
+    hot = (rows[0] & 1) == 1
+    close = np.flatnonzero(new & (several[group] | hot | crowded))
+    kind = np.where(hot[close] | crowded, 3, 2)
+    key, mark, a, b = _covered(*rows[2:, ~new & ~twin])
+    return [(rows[2, close], rows[3, close], kind, rows[4, close], np.zeros(len(close))), (key, mark, np.full(len(key), 1), a, b)]
+
+
+def _sifted_batch(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.record_batch({n: np.concatenate([np.asarray(o[i], np.int64) for o in out] or [np.empty(0, np.int64)]) for i, n in enumerate(("key", "mark", "kind", "x", "y"))})
 
 
 def _looked_at(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Documents with their rows to what is compared: for each phrase under a closer look the hashes of the strings that start in
-    it (g trigger; x at; blob hashes; one string a row if the trigger is hot), and intervals known to repeat (x -1, blob)."""
+    """Documents with their rows to what is compared: the dictionary's words (g trigger, even; x at; blob: the word's bytes), the
+    strings of crowded triggers (g odd and d: the string's hash; x at), and intervals known to repeat (x -1, blob)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, zstd, out = xxhash.xxh3_64_intdigest, zstandard.ZstdDecompressor(), []
+        zstd, out, strings = zstandard.ZstdDecompressor(), [], []
         for batch in batches:
             for key, mark, blob, rows in zip(*(batch[n].to_pylist() for n in ("key", "mark", "blob", "rows")), strict=True):
-                known = sorted((r["x"], r["y"]) for r in rows or () if r["kind"] == 1)
+                if not rows:
+                    continue
+                known = sorted((r["x"], r["y"]) for r in rows if r["kind"] == 1)
                 if known:
                     a, b = _intervals(*np.array(known, np.int64).T)
-                    out.append((key, key, mark, -1, np.stack([a, b], 1).astype("<i8").tobytes()))
-                text = zstd.decompress(blob) if rows else b""
-                for x, y in ((r["x"], r["y"]) for r in rows or () if r["kind"] == 2):
-                    place, left, right = (x >> 14) & ((1 << 31) - 1), (x >> 7) & 127, x & 127
-                    hashes = np.array([digest(text[p : p + length]) for p in range(place - left, place - right + 1)], "<u8")
-                    short = hashes.view(np.uint8).reshape(-1, 8)[:, :_HASH]
-                    if y & 1:
-                        for i, v in enumerate(hashes.view("<i8").tolist()):
-                            out.append((v, key, mark, (x >> 14 << 14) | (left - i) << 7 | (left - i), short[i].tobytes()))
-                    else:
-                        out.append((y, key, mark, x, short.tobytes()))
+                    out.append((key ^ mark, 0, key, mark, -1, np.stack([a, b], 1).astype("<i8").tobytes()))
+                text = zstd.decompress(blob)
+                for r in rows:
+                    if r["kind"] == 1:
+                        continue
+                    x = r["x"]
+                    place, left, right = x >> 14, (x >> 7) & 127, x & 127
+                    if r["kind"] == 2:
+                        g = xxhash.xxh3_64_intdigest(text[place : place + GRAIN])
+                        out.append(((g - (1 << 63)) & ~1, 0, key, mark, x, text[place - left : place - right + length]))
+                        continue
+                    for f in range(left, right - 1, -1):
+                        g = xxhash.xxh3_128_intdigest(text[place - f : place - f + length])
+                        strings.append(((g >> 64) - (1 << 63) | 1, (g & ((1 << 64) - 1)) - (1 << 63), key, mark, place - f))
+                if len(strings) >= _SETTLE:
+                    out += _settled_strings(strings)
+                    strings = []
                 if len(out) >= 4096:
                     yield _compared_batch(out)
                     out = []
+        out += _settled_strings(strings)
         if out:
             yield _compared_batch(out)
 
     return run
 
 
+def _settled_strings(strings: list[tuple[int, ...]]) -> list[tuple]:
+    """Of equal strings only the first is passed on; the others become intervals that repeat."""
+    if not strings:
+        return []
+    rows = np.array(strings, np.int64).T
+    rows = rows[:, np.lexsort(rows[::-1])]
+    new, twin = _steps(rows, None)
+    out = [(g, d, key, mark, x, None) for g, d, key, mark, x in rows[:, new].T.tolist()]
+    later = rows[2:, ~new & ~twin]
+    key, mark, x = later[:, np.lexsort(later[::-1])]
+    for k, m, a, b in zip(*(v.tolist() for v in _runs(key, mark, x, x + 1)), strict=True):
+        out.append((k ^ m, 0, k, m, -1, np.array([a, b], "<i8").tobytes()))
+    return out
+
+
 def _compared_batch(out: list[tuple]) -> pa.RecordBatch:
-    g, key, mark, x, blob = zip(*out, strict=True)
-    return pa.record_batch({"g": pa.array(g, pa.int64()), "key": pa.array(key, pa.int64()), "mark": pa.array(mark, pa.int64()), "x": pa.array(x, pa.int64()), "blob": pa.array(blob, pa.binary())})
+    *longs, blob = zip(*out, strict=True)
+    return pa.record_batch({**{n: pa.array(v, pa.int64()) for n, v in zip(("g", "d", "key", "mark", "x"), longs, strict=True)}, "blob": pa.array(blob, pa.binary())})
 
 
-def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams what is compared, sorted by (g, key, x): of equal strings that start equally far before one trigger all but the first repeat."""
-    held: pa.RecordBatch | None = None
-    for batch in batches:
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """The rank of the suffix at each place of ``data`` (uint8) among all, by their first ``length`` (8 or more) bytes: equal where these are. Zeros stand behind the end.
+
+    Prefix doubling: the ranks by 8 bytes are those of whole numbers, and ranks by w bytes at a place and w (or fewer) further on
+    make ranks by up to 2 w.
+    """
+    n = len(data)
+    wide = np.zeros(n + 8, np.uint64)
+    wide[:n] = data
+    value = np.zeros(n, np.uint64)
+    for k in range(8):
+        value = value << np.uint64(8) | wide[k : k + n]
+    width = 8
+    while True:
+        order = np.argsort(value)
+        steps = np.r_[False, value[order[1:]] != value[order[:-1]]]
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(steps, dtype=np.uint64) + np.uint64(1)
+        if width >= length:
+            return rank
+        step = min(width, length - width)
+        further = np.zeros(n, np.uint64)
+        further[: n - step] = rank[step:]
+        value = rank << np.uint64(32) | further
+        width += step
+
+
+def _ordered(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Streams what is compared, sorted by (g, d, key, mark, x), to (key, mark, blob): intervals that repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        last = None
+        for batch in batches:
+            g, x = batch["g"].to_numpy(), batch["x"].to_numpy()
+            yield batch.filter(pa.array(x < 0)).select(["key", "mark", "blob"])
+            strings = np.stack([batch[n].to_numpy() for n in ("g", "d", "key", "mark", "x")])[:, (x >= 0) & (g & 1 == 1)]
+            if strings.shape[1]:
+                new, twin = _steps(strings, last)
+                last = strings[:, -1]
+                again = strings[2:, ~new & ~twin]
+                key, mark, start = again[:, np.lexsort(again[::-1])]
+                yield _interval_batch(*_runs(key, mark, start, start + 1))
+            words = batch.filter(pa.array((x >= 0) & (g & 1 == 0)))
+            if held is not None and held.num_rows:
+                words = pa.Table.from_batches([held, words]).combine_chunks().to_batches()[0]
+            if words.num_rows:
+                g = words["g"].to_numpy()
+                cut = int(np.searchsorted(g, g[-1]))
+                held = words.slice(cut)
+                if cut:
+                    yield _repeats(words.slice(0, cut), length)
         if held is not None and held.num_rows:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        if not batch.num_rows:
-            continue
-        g = batch["g"].to_numpy()
-        cut = int(np.searchsorted(g, g[-1]))
-        held = batch.slice(cut)
-        if cut:
-            yield _repeats(batch.slice(0, cut))
-    if held is not None and held.num_rows:
-        yield _repeats(held)
-
-
-def _repeats(batch: pa.RecordBatch) -> pa.RecordBatch:
-    g, key, mark, x = (batch[n].to_numpy() for n in ("g", "key", "mark", "x"))
-    done, blobs = x < 0, batch["blob"].to_pylist()
-    some = np.flatnonzero(~done)
-    known = np.flatnonzero(done).tolist()
-    keys, marks, data = [key[known]], [mark[known]], [blobs[i] for i in known]
-    if len(some):
-        size = np.array([len(blobs[i]) // _HASH for i in some])
-        row = np.repeat(some, size)
-        value = np.zeros((len(row), 8), np.uint8)
-        value[:, :_HASH] = np.frombuffer(b"".join(blobs[i] for i in some), np.uint8).reshape(-1, _HASH)
-        value = value.view("<u8").ravel()
-        before = np.repeat((x[some] >> 7) & 127, size) - (np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size))
-        # rows are in corpus order within a trigger, so a stable sort keeps the first occurrence first
-        order = np.lexsort((value, before, g[row]))
-        r, v, f = row[order], value[order], before[order]
-        same = np.r_[False, (v[1:] == v[:-1]) & (f[1:] == f[:-1]) & (g[r][1:] == g[r][:-1])]
-        same &= ~np.r_[False, (key[r][1:] == key[r][:-1]) & (x[r][1:] >> 14 == x[r][:-1] >> 14)]
-        start = ((x[r[same]] >> 14) & ((1 << 31) - 1)) - f[same]
-        pick_ = np.lexsort((start, mark[r[same]], key[r[same]]))
-        k, m, s = key[r[same]][pick_], mark[r[same]][pick_], start[pick_]
-        if len(k):
-            new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (m[1:] != m[:-1]) | (s[1:] > s[:-1] + 1)])
-            last = np.r_[new[1:], len(k)] - 1
-            keys.append(k[new])
-            marks.append(m[new])
-            data += [row.tobytes() for row in np.stack([s[new], s[last] + 1], 1).astype("<i8")]
-    return pa.record_batch({"key": np.concatenate(keys), "mark": np.concatenate(marks), "blob": pa.array(data, pa.binary())})
+            yield _repeats(held, length)
+
+    return run
+
+
+def _repeats(words: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """The strings of a shard's dictionary (words of whole triggers, in the order of triggers and of the corpus) that have occurred before."""
+    g, key, mark, x = (words[n].to_numpy() for n in ("g", "key", "mark", "x"))
+    twin = np.r_[False, (g[1:] == g[:-1]) & (key[1:] == key[:-1]) & (mark[1:] == mark[:-1]) & (x[1:] == x[:-1])]
+    key, mark, x = key[~twin], mark[~twin], x[~twin]
+    blobs = words["blob"].filter(pa.array(~twin)).to_pylist()
+    strings = ((x >> 7) & 127) - (x & 127) + 1
+    size = np.fromiter(map(len, blobs), np.int64, len(blobs))
+    ranks = suffix_ranks(np.frombuffer(b"".join(blobs), np.uint8), length)
+    row = np.repeat(np.arange(len(blobs)), strings)
+    inner = np.arange(len(row)) - np.repeat(np.cumsum(strings) - strings, strings)
+    rank = ranks[inner + np.repeat(np.cumsum(size) - size, strings)]
+    # strings stand in corpus order, so the first of a run of the suffix array is the one of least number
+    order = np.argsort(rank)
+    runs = np.flatnonzero(np.r_[True, rank[order[1:]] != rank[order[:-1]]])
+    again = np.ones(len(row), bool)
+    again[np.minimum.reduceat(order, runs)] = False
+    row, start = row[again], ((x >> 14) - ((x >> 7) & 127))[row[again]] + inner[again]
+    pick_ = np.lexsort((start, mark[row], key[row]))
+    row, start = row[pick_], start[pick_]
+    return _interval_batch(*_runs(key[row], mark[row], start, start + 1))
+
+
+def _interval_batch(key: np.ndarray, mark: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"key": key, "mark": mark, "blob": pa.array([r.tobytes() for r in np.stack([a, b], 1).astype("<i8")], pa.binary())})
 
 
 def _removed(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -352,10 +437,11 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     with a smaller doc_id, or further left in the same one. Strings are judged on the input and never cross documents. ``spans``
     are the removed runs in bytes, ``kept`` the remaining bytes (not always whole UTF-8 characters). A null text counts as the
     empty text; a null doc_id comes before all others. Rows that repeat doc_id and text are one document and each get its result;
-    texts that share a doc_id stand in the order of a hash. An empty table gives no rows.
+    texts that share a doc_id stand in the order of a hash. An empty table gives no rows, and a text without repeats comes back whole.
 
-    Words, comparisons and intervals are dealt out by hash, and what a batch of rows repeats is settled before it is shuffled; hot
-    triggers are dealt out by word and by string. Texts, compressed, are shuffled once. Every task streams sorted rows.
+    Words, strings and intervals are dealt out by hash, and what a batch of rows repeats is settled before it is shuffled. Hot
+    triggers are dealt out by word and by string. Texts, compressed, are shuffled once. Every task streams sorted rows and holds
+    a batch and CROWD words at most.
     """
     if not GRAIN <= length < 128 + GRAIN:
         raise ValueError("length must be at least a grain, and its grains fewer than 128")
@@ -366,13 +452,13 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     seen = sample.groupBy("h").count().where(F.col("count") >= HOT).orderBy(F.desc("count"), "h").limit(HOTTEST).collect()
     hot = sc.broadcast(np.sort(np.array([r.h for r in seen], np.int64).view(np.uint64)))
 
-    words = slim.select("key", "text").mapInArrow(lambda it: _words(length, hot.value)(it), _ROW)
-    sifted = words.repartition("h").sortWithinPartitions("h", "c", "key", "at").mapInArrow(_sifted, "key long, mark long, kind long, x long, y long")
+    parse = slim.select("key", "text").mapInArrow(lambda it: _words(length, hot.value)(it), _ROW)
+    sifted = parse.repartition("h").sortWithinPartitions("h", "c", "key", "mark", "at").mapInArrow(_sifted, "key long, mark long, kind long, x long, y long")
     # both joins have the same left side, so its exchange is made once and read twice
     texts = slim.mapInArrow(_compressed, "key long, mark long, doc_id long, blob binary")
     marks = sifted.groupBy(F.col("key").alias("k"), F.col("mark").alias("m")).agg(F.collect_list(F.struct("kind", "x", "y")).alias("rows"))
-    looked = texts.join(marks, (texts["key"] == marks["k"]) & (texts["mark"] == marks["m"]), "left").mapInArrow(_looked_at(length), "g long, key long, mark long, x long, blob binary")
-    found = looked.repartition("g").sortWithinPartitions("g", "key", "x").mapInArrow(_ordered, "key long, mark long, blob binary")
+    looked = texts.join(marks, (texts["key"] == marks["k"]) & (texts["mark"] == marks["m"]), "left").mapInArrow(_looked_at(length), _STRING)
+    found = looked.repartition("g").sortWithinPartitions("g", "d", "key", "mark", "x").mapInArrow(_ordered(length), "key long, mark long, blob binary")
     blobs = found.groupBy(F.col("key").alias("k"), F.col("mark").alias("m")).agg(F.collect_list("blob").alias("blobs"))
     last = texts.join(blobs, (texts["key"] == blobs["k"]) & (texts["mark"] == blobs["m"]), "left")
     return last.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
