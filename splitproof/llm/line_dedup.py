@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, numbered, pick, written
+from .common import ascii_lower, numbered, pick
 
-#: A key is heavy if it holds more than this share of the occurrences of all frequent keys, so there are fewer than its inverse.
+#: A key is heavy if it holds more than this share of all lines, so there are fewer than its inverse.
 HEAVY_SHARE = 1e-4
 
 
@@ -29,20 +29,23 @@ def drop_frequent_lines(docs: DataFrame, min_documents: int = 10, min_chars: int
     n_dropped stands beside ours). Rows that repeat a doc_id count as one document and are each returned; a null doc_id counts as
     one document too. An empty table gives no rows.
 
-    Two 64-bit hashes stand for a key. The lines' hashes are written once. Keys too frequent for one task, fewer than
-    1 / HEAVY_SHARE by arithmetic, are looked up through a broadcast; the others by an ordinary join. Texts are shuffled once.
+    Two 64-bit hashes stand for a key. Texts are read twice for their lines, whose hashes are counted and then looked up; nothing is
+    written between. Keys too frequent for one task, in however few documents, are fewer than 1 / HEAVY_SHARE by arithmetic and
+    looked up through a broadcast; the others by an ordinary join, which heavy lines pass under keys of their own. Texts are
+    shuffled once.
     """
     slim = pick(docs, doc_id="doc_id", text="text")
     exploded = slim.select("doc_id", _row_key(F.col("text")).alias("row_key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     key = exploded.select("doc_id", "row_key", "pos", ascii_lower(F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))).alias("key")).where(F.char_length("key") >= min_chars)
-    hashed = written(key.select("doc_id", "row_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2")), "lines")
-
-    counted = hashed.select("h1", "h2", F.struct("doc_id").alias("doc")).distinct().groupBy("h1", "h2").count()
-    frequent = written(counted.where(F.col("count") >= min_documents), "frequent")
-    total = frequent.agg(F.sum("count")).first()[0] or 0
-    heavy, rest = (frequent.where(c).select("h1", "h2") for c in (F.col("count") > HEAVY_SHARE * total, F.col("count") <= HEAVY_SHARE * total))
-    light = hashed.join(F.broadcast(heavy), ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"], "left_semi")
-    hits = hashed.join(F.broadcast(heavy), ["h1", "h2"], "left_semi").unionByName(light)
+    hashed = key.select("doc_id", "row_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), F.col("key")).alias("h2"))
+
+    counted = hashed.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("h1", "h2").agg((F.count(F.lit(1)) >= min_documents).alias("frequent"), F.sum("n").alias("lines"))
+    judged = counted.withColumn("heavy", F.col("lines") > HEAVY_SHARE * counted.agg(F.sum("lines")).scalar())
+    heavy = judged.where("heavy").select("h1", "h2", F.col("frequent").alias("known"))
+    rest = judged.where(~F.col("heavy") & F.col("frequent")).select("h1", "h2", F.lit(True).alias("found"))
+    looked = hashed.join(F.broadcast(heavy), ["h1", "h2"], "left")
+    spread = F.when(F.col("known").isNull(), F.col("h1")).otherwise(F.xxhash64("h1", "doc_id", "row_key", "pos"))
+    hits = looked.withColumn("h1", spread).join(rest, ["h1", "h2"], "left").where(F.coalesce("known", "found", F.lit(False)))
     dropped = hits.groupBy("doc_id", "row_key").agg(F.collect_set("pos").alias("gone")).toDF("__id", "__row", "__gone")
 
     n, at = len(docs.columns), {c: f"__c{docs.columns.index(c)}" for c in ("doc_id", "text")}
