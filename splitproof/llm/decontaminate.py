@@ -1,30 +1,33 @@
 """Operator 4, benchmark decontamination by training suffix arrays.
 
-Each Arrow batch of documents is a shard. Its words become numbers (0: not a word of the benchmark), and the shard's suffixes,
-cut off after WINDOW words, are sorted: its suffix array. Suffixes whose first words start no window of the benchmark could never
-be found and are left out before the sort. Every window of the benchmark, the start of one test suffix, is binary-searched in it.
-Matches on one diagonal (same item, document position less item position) are joined to longest verbatim matches.
-The benchmark reaches the workers in blocks of bounded size; documents are never shuffled.
+A slice of documents of some megabytes is a shard. Its words become numbers, and the suffixes of the whole shard are sorted by
+prefix doubling, as deep as the longest item of the benchmark is: the shard's suffix array. Each suffix of the benchmark's items
+that has room for a window is binary-searched in it, one word deeper at a time, until no training suffix goes on like it. So its
+longest verbatim matches come out with their places, and at WINDOW words the places of all occurrences of the window it starts.
+The benchmark reaches the workers in blocks of bounded size, one held at a time; the documents are read once and never shuffled.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, pick, written
+from .common import numbered, pick
 
 WINDOW = 13
-#: Bytes of benchmark text in a block at most (an item is never divided, so one longer item is a block of its own), and the blocks that one pass over the documents searches.
-BLOCK_BYTES, BLOCKS_AT_ONCE = 1 << 22, 4
+#: Bytes of benchmark text in a block at most (an item is never divided, so one longer item is a block of its own), and of text in a shard (or one document).
+BLOCK_BYTES, SHARD_BYTES = 1 << 22, 1 << 22
 
 _SPACE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_HITS = "array<struct<start:int,length:int,item:string,item_start:int>>"
+_MATCHES = "array<struct<start:int,length:int,item:string,item_start:int>>"
+_ARROW_MATCHES = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item", pa.string()), ("item_start", pa.int32())]))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -33,105 +36,199 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Block:
-    """Some items of the benchmark, ready to be searched for."""
+    """Some items of the benchmark: their words as numbers, and the suffixes to be searched for."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
         split = [(name, w) for name, t in items if (w := words(t))]
-        self.window, self.names = window, [name for name, _ in split]
-        self.ids = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in split for w in ws}))}
-        rows, self.item, self.start, self.length = [], [], [], []
-        for k, (_, ws) in enumerate(split):
-            numbers = [self.ids[w] for w in ws]
-            for s in range(max(1, len(ws) - window + 1)):
-                part = numbers[s : s + window]
-                rows.append(part + [0] * (window - len(part)))
-                self.item.append(k)
-                self.start.append(s)
-                self.length.append(len(part))
-        table = np.array(rows, np.int64).reshape(-1, window)
-        distinct, which = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.empty(0, np.int64))
-        order = np.argsort(which.ravel(), kind="stable")
-        self.bounds = np.r_[0, np.cumsum(np.bincount(which.ravel(), minlength=len(distinct)))]
-        self.item, self.start = np.array(self.item, np.int64)[order], np.array(self.start, np.int64)[order]
-        self.patterns, self.lengths = distinct, (distinct > 0).sum(1)
-        self.first = np.unique(distinct[:, 0]) if len(distinct) else np.empty(0, np.int64)
-        full = self.lengths >= 2
-        self.pairs = np.unique(distinct[full, 0] << 32 | distinct[full, 1])
-        self.singles = np.unique(distinct[~full, 0])
-
-    def matches(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, pattern) of every occurrence of a pattern in the shard, whose documents are parted by ``window`` zeros."""
-        if not len(self.patterns) or not len(numbers):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        padded = np.r_[numbers, np.zeros(self.window, np.int64)]
-        two = padded[:-1] << 32 | padded[1:]
-        may = _among(two[: len(numbers)], self.pairs) | _among(numbers, self.singles)
-        at = np.flatnonzero(may)
-        # the suffix array: positions in the order of the words that follow, sorted by two words at a time
-        at = at[np.lexsort([two[at + k] if k + 1 < self.window else padded[at + k] for k in reversed(range(0, self.window, 2))])]
-        low, high = np.zeros(len(self.patterns), np.int64), np.full(len(self.patterns), len(at), np.int64)
-        for k in range(self.window):  # a binary search for all patterns at once narrows their ranges word by word
-            live = (self.lengths > k) & (low < high)
-            low[live], high[live] = _narrow(padded, at, k, self.patterns[live, k], low[live], high[live])
-        n = high - low
-        pattern = np.repeat(np.arange(len(n)), n)
-        return at[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)], pattern
-
-
-def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(wanted):
-        return np.zeros(len(values), bool)
-    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
-
-
-def _narrow(padded: np.ndarray, at: np.ndarray, k: int, word: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Within each range of the suffix array, where the word at depth k is ``word``."""
-    ends = []
-    for right in (False, True):
-        a, b = low.copy(), high.copy()
-        while (open_ := a < b).any():
-            mid = (a + b) // 2
-            here = padded[at[np.minimum(mid, len(at) - 1)] + k]
-            less = (here <= word) if right else (here < word)
-            a, b = np.where(open_ & less, mid + 1, a), np.where(open_ & ~less, mid, b)
-        ends.append(a)
-    return ends[0], ends[1]
-
-
-def _search(blocks: list[Block]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds to each batch, whose last columns are ``text`` and ``found``, the longest matches of the blocks."""
+        self.names = [name for name, _ in split]
+        self.vocabulary = sorted({w for _, ws in split for w in ws})
+        ids = {w: i for i, w in enumerate(self.vocabulary)}
+        size = np.array([len(ws) for _, ws in split], np.int64)
+        self.numbers = np.fromiter((ids[w] for _, ws in split for w in ws), np.int64, size.sum())
+        #: Of each suffix: its item, where it starts there, its words, and how many of them make a window.
+        self.item = np.repeat(np.arange(len(split)), size)
+        self.start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        self.length = np.repeat(size, size) - self.start
+        self.need = np.repeat(np.minimum(size, window), size)
+        self.place = np.flatnonzero(self.length >= self.need)
+        self.item, self.start, self.length, self.need = (x[self.place] for x in (self.item, self.start, self.length, self.need))
+        self.longest = int(size.max()) if len(size) else 0
+
+
+def suffix_array(numbers: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the places of ``numbers``, each below 2 ** 31, in the order of what follows there, to ``depth`` or more numbers; the first two numbers at each).
+
+    Places whose first ``width`` numbers agree share a rank, the slot of the first of them; only they are sorted again, by the
+    ranks ``width`` further on.
+    """
+    two = numbers << 32 | np.r_[numbers[1:] + 1, 0]
+    order = np.argsort(two)
+    first = two[order]
+    slots = np.arange(len(numbers))
+    new, rank, width = np.r_[True, first[1:] != first[:-1]][: len(numbers)], np.zeros(len(numbers) + 1, np.int64), 2
+    rank[-1] = -1
+    rank[order] = np.maximum.accumulate(np.where(new, slots, 0))
+    among, begins = slots, new
+    while width < depth:
+        shared = ~(begins & np.r_[begins[1:], True])
+        among, width = among[shared], width * 2
+        if not len(among):
+            break
+        here = order[among]
+        value = rank[here] << 32 | rank[np.minimum(here + width // 2, len(numbers))] + 1
+        by = np.argsort(value)
+        here, value = here[by], value[by]
+        order[among] = here
+        begins = np.r_[True, value[1:] != value[:-1]]
+        rank[here] = np.maximum.accumulate(np.where(begins, among, 0))
+    return order, first
+
+
+class Shard:
+    """The suffix array of some documents, parted by numbers that no word has, and what the benchmark's blocks find there."""
+
+    def __init__(self, texts: list[str | None], depth: int):
+        ids: defaultdict[bytes, int] = defaultdict()
+        ids.default_factory = ids.__len__
+        split = [words(t) for t in texts]
+        self.sizes = np.array([len(w) for w in split], np.int64)
+        numbers = np.fromiter((i for w in split for i in map(ids.__getitem__, w)), np.int64, self.sizes.sum())
+        self.ids = dict(ids)
+        self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.numbers = np.insert(numbers, np.cumsum(self.sizes), len(ids) + np.arange(len(texts)))
+        self.order, self.first = suffix_array(self.numbers, depth)
+        n = len(self.numbers)
+        #: The longest match at each place (0: none) and what it matches.
+        self.best, self.item, self.start = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.names: list[str] = []
+        self.found: list[set[str]] = [set() for _ in texts]
+
+    def search(self, block: Block) -> None:
+        known = np.fromiter((self.ids.get(w, -1) for w in block.vocabulary), np.int64, len(block.vocabulary))
+        item = np.r_[known[block.numbers], -1]
+        here, after = item[block.place], np.where(block.length > 1, item[np.minimum(block.place + 1, len(item) - 1)], -1)
+        alone = block.length == 1
+        low = np.searchsorted(self.first, here << 32 | np.where(alone, 0, after + 1))
+        high = np.searchsorted(self.first, here << 32 | np.where(alone, (1 << 32) - 1, after + 1), "right")
+        live = np.flatnonzero((here >= 0) & (alone | (after >= 0)) & (low < high))
+        low, high, k = low[live], high[live], 2
+        got, ranges = [], []  # (suffix, low, high, words): places that match so many words; the places of the suffixes' windows
+        while len(live):
+            length, need = block.length[live], block.need[live]
+            depth = np.minimum(length, k)
+            ranges.append(np.stack([live, low, high])[:, depth == need])
+            go = length > k
+            next_low, next_high = low.copy(), high.copy()
+            next_low[go], next_high[go] = self._narrowed(k, item[block.place[live[go]] + k], low[go], high[go])
+            leave = (depth >= need) & (~go | (next_low != low) | (next_high != high))
+            got.append(_distinct(np.stack([live, low, high, depth])[:, leave]))
+            stay = go & (next_low < next_high)
+            live, low, high, k = live[stay], next_low[stay], next_high[stay], k + 1
+        if got:
+            self._keep(block, np.concatenate(got, 1), np.concatenate(ranges, 1))
+
+    def _narrowed(self, k: int, word: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Within each range of the suffix array, whose suffixes agree before, where the word at depth k is ``word``."""
+        end, ends = len(self.order) - 1, []
+        for right in (False, True):
+            a, b = low.copy(), high.copy()
+            while (open_ := a < b).any():
+                mid = (a + b) // 2
+                here = self.numbers[np.minimum(self.order[np.minimum(mid, end)] + k, end)]
+                less = (here <= word) if right else (here < word)
+                a, b = np.where(open_ & less, mid + 1, a), np.where(open_ & ~less, mid, b)
+            ends.append(a)
+        return ends[0], ends[1]
+
+    def _keep(self, block: Block, got: np.ndarray, ranges: np.ndarray) -> None:
+        """Notes the longest match at each place, and for each document the items whose windows occur in it."""
+        if not got.shape[1]:
+            return
+        slots, which = _innermost(*got[1:])
+        places, suffix, words_ = self.order[slots], got[0, which], got[3, which]
+        better = words_ > self.best[places]
+        places, suffix = places[better], suffix[better]
+        self.best[places], self.item[places], self.start[places] = words_[better], block.item[suffix] + len(self.names), block.start[suffix]
+        self.names += block.names
+        # a window's places are one range, whatever suffixes start with it
+        spans, of = np.unique(ranges[1] << 32 | ranges[2], return_inverse=True)
+        low, size = spans >> 32, (spans & 0xFFFFFFFF) - (spans >> 32)
+        at = self.order[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)]
+        documents = np.unique(np.repeat(np.arange(len(spans)), size) << 32 | np.searchsorted(self.starts, at, "right") - 1)
+        items = np.unique(of.ravel() << 32 | block.item[ranges[0]])
+        cuts = np.searchsorted(items, np.arange(len(spans) + 1) << 32).tolist()
+        names = [block.names[i] for i in (items & 0xFFFFFFFF).tolist()]
+        for span, document in zip((documents >> 32).tolist(), (documents & 0xFFFFFFFF).tolist(), strict=True):
+            self.found[document].update(names[cuts[span] : cuts[span + 1]])
+
+    def results(self) -> tuple[list[int], list[int], list[list[str]], list[list[dict]]]:
+        """For each document: its words, those that are hit, the items found in it, and the longest matches that no other one holds."""
+        at = np.flatnonzero(self.best)
+        ends, n = at + self.best[at], len(self.numbers)
+        inside = np.cumsum(np.bincount(at, minlength=n + 1) - np.bincount(ends, minlength=n + 1))[:n] > 0
+        hit = np.add.reduceat(inside, self.starts, dtype=np.int64)
+        reach = np.maximum.accumulate(ends)
+        at = at[np.r_[True, ends[1:] > reach[:-1]]] if len(at) else at
+        document = np.searchsorted(self.starts, at, "right") - 1
+        matches: list[list[dict]] = [[] for _ in self.sizes]
+        for d, a, length, item, start in zip(document.tolist(), (at - self.starts[document]).tolist(), self.best[at].tolist(), self.item[at].tolist(), self.start[at].tolist(), strict=True):
+            matches[d].append({"start": a, "length": length, "item": self.names[item], "item_start": start})
+        return self.sizes.tolist(), hit.tolist(), [sorted(x) for x in self.found], matches
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """The first of the rows (suffix, low, high, words) of each range."""
+    return rows[:, np.unique(rows[1] << 32 | rows[2], return_index=True)[1]]
+
+
+def _innermost(low: np.ndarray, high: np.ndarray, words_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slots in any of the ranges [low, high), which are nested or apart, and the innermost range (of equal ones that of most words) around each."""
+    edges, owner, around = [], [], []
+    lows, highs = low.tolist(), high.tolist()
+
+    def leave() -> None:
+        edges.append(highs[around.pop()])
+        owner.append(around[-1] if around else -1)
+
+    for i in np.lexsort((words_, -high, low)).tolist():
+        while around and highs[around[-1]] <= lows[i]:
+            leave()
+        edges.append(lows[i])
+        owner.append(i)
+        around.append(i)
+    while around:
+        leave()
+    size = np.diff(edges)
+    which = np.repeat(np.array(owner[:-1], np.int64), size)
+    slots = edges[0] + np.arange(len(which))
+    return slots[which >= 0], which[which >= 0]
+
+
+def _search(blocks: list[Broadcast], depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Replaces a batch's ``__text`` by the results for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _shards(whole):
-                texts = batch["__text"].to_pylist()
-                rows: list[list[dict]] = [x or [] for x in batch["__found"].to_pylist()]
-                counts = [0] * len(texts)
-                for block in blocks:
-                    get, gap, parts, starts, total = block.ids.get, np.zeros(block.window, np.int64), [], [], 0
-                    for i, t in enumerate(texts):
-                        numbers = np.array([get(w, 0) for w in words(t)], np.int64)
-                        counts[i] = len(numbers)
-                        starts.append(total)
-                        parts += (numbers, gap)
-                        total += len(numbers) + block.window
-                    for d, hit in _joined(block, np.concatenate(parts), np.array(starts, np.int64)):
-                        rows[d].append(hit)
-                names = [n for n in batch.schema.names if n not in ("__found", "__words")]
-                yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], pa.array(rows, _ARROW_HITS), pa.array(counts, pa.int64())], [*names, "__found", "__words"])
+                shard = Shard(batch["__text"].to_pylist(), depth)
+                for sent in blocks:
+                    shard.search(sent.value)
+                    if len(blocks) > 1:
+                        sent.__dict__.pop("_value", None)  # the worker reads it again from its file; one block is held at a time
+                n, hit, items, matches = shard.results()
+                names = [x for x in batch.schema.names if x != "__text"]
+                made = (pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(matches, _ARROW_MATCHES))
+                yield pa.RecordBatch.from_arrays([*[batch[x] for x in names], *made], [*names, "__words", "__hit", "__items", "__found"])
 
     return run
 
 
-_ARROW_HITS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("item", pa.string()), ("item_start", pa.int32())]))
-
-
-def _shards(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with ``most`` bytes of text or a single row."""
+def _shards(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with SHARD_BYTES of text or a single row."""
     sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(batch["__text"]), 0))
     start = total = 0
     for i, size in enumerate(sizes.tolist()):
-        if total and total + size > most:
+        if total and total + size > SHARD_BYTES:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += size
@@ -139,50 +236,25 @@ def _shards(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBat
         yield batch.slice(start)
 
 
-def _joined(block: Block, numbers: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, dict]]:
-    """(document, longest match) of the shard: runs of matches that follow each other in the document and the item."""
-    at, pattern = block.matches(numbers)
-    if not len(at):
-        return
-    n = block.bounds[pattern + 1] - block.bounds[pattern]
-    where = np.repeat(at, n)
-    entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(block.bounds[pattern], n)
-    item, inner, length = block.item[entry], block.start[entry], np.repeat(block.lengths[pattern], n)
-    order = np.lexsort((where, where - inner, item))
-    item, inner, length, where = item[order], inner[order], length[order], where[order]
-    new = np.r_[True, (item[1:] != item[:-1]) | (where[1:] != where[:-1] + 1) | (inner[1:] != inner[:-1] + 1)]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(new)] - 1
-    doc = np.searchsorted(starts, where[first], "right") - 1
-    for d, f, e in zip(doc.tolist(), first.tolist(), last.tolist(), strict=True):
-        yield d, {"start": int(where[f] - starts[d]), "length": int(where[e] + length[e] - where[f]), "item": block.names[item[f]], "item_start": int(inner[f])}
-
-
 def _found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """``docs`` (columns numbered) with ``__text``, ``__found`` (longest matches) and ``__words`` (their number)."""
-    items = pick(benchmark, item_id="item_id", text="text").where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text").fillna("", ["item_id"])
+    """``docs`` (columns numbered) with ``__words`` (their number), ``__hit`` (those covered), ``__items`` (sorted names) and ``__found`` (longest matches)."""
+    spark = docs.sparkSession
+    items = pick(benchmark, item_id="item_id", text="text").where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    rows = numbered(docs).withColumn("__text", F.col(f"__c{docs.columns.index('text')}")).withColumns({"__found": F.array().cast(_HITS), "__words": F.lit(0).cast("long")})
-    for b in range(0, blocks, BLOCKS_AT_ONCE):
-        some = [_block(items, blocks, k, window) for k in range(b, min(b + BLOCKS_AT_ONCE, blocks))]
-        rows = rows.mapInArrow(_search(some), rows.schema)
-        if b + BLOCKS_AT_ONCE < blocks:
-            rows = written(rows, "searched")
-    return rows
-
-
-def _block(items: DataFrame, blocks: int, k: int, window: int) -> Block:
-    mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-    return Block([(r.item_id, r.text) for r in mine.collect()], window)
+    count, sent, depth = max(1, -(-size // BLOCK_BYTES)), [], 2
+    for k in range(count):  # the driver holds one block at a time
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).collect()
+        block = Block(sorted({(r.item_id, r.text) for r in mine}), window)
+        depth = max(depth, block.longest)
+        if block.names:
+            sent.append(spark.sparkContext.broadcast(block))
+    rows = numbered(docs)
+    made = rows.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in (("__words", "long"), ("__hit", "long"), ("__items", "array<string>"), ("__found", _MATCHES))]).schema
+    return rows.withColumn("__text", F.col(f"__c{docs.columns.index('text')}")).mapInArrow(_search(sent, depth), made)
 
 
-def _digest(rows: DataFrame) -> DataFrame:
-    """Adds __hit (words covered), __items (sorted distinct items)."""
-    spans = F.array_sort(F.transform("__found", lambda h: F.struct(h["start"].alias("a"), (h["start"] + h["length"]).alias("b"))))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
-    covered = F.aggregate(spans, zero, lambda acc, s: F.struct((acc["n"] + F.greatest(F.lit(0), s["b"] - F.greatest(acc["end"], s["a"]))).alias("n"), F.greatest(acc["end"], s["b"]).alias("end")))["n"]
-    return rows.withColumns({"__hit": covered, "__items": F.array_sort(F.array_distinct(F.transform("__found", lambda h: h["item"])))})
+def _contaminated() -> Column:
+    return (F.col("__hit") > 0) & (20 * F.col("__hit") >= F.col("__words"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -190,19 +262,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     Windows are ``window`` consecutive words of an item of ``benchmark`` (item_id, text); a shorter item, if it has words, is one
     window. A word inside any occurrence is hit. ``contaminated``: some word is hit, and at least a twentieth of the words are.
-    ``matches`` are the longest verbatim matches: start and length in the document, item and start in it, in words. Items whose
-    text is null or without words match nothing, a null item_id is named by the empty string, items that repeat an item_id count
-    once. Documents without words give zeros and false. Rows that repeat give repeated rows. Empty tables give no rows, or no hits.
+    ``matches`` are longest verbatim matches: at each place where a window begins the longest that any item has there, without
+    those that lie within another: start and length in the document, item and start in it, in words; of several items that match
+    as long the first by name. Items whose text is null or without words match nothing, a null item_id is named by the empty
+    string, items that repeat an item_id count once. Documents without words give zeros and false. Rows that repeat give repeated
+    rows. Empty tables give no rows, or no hits.
+
+    A shard's work grows with its words, the benchmark's, and the documents in which windows occur, not with occurrences times items.
     """
-    rows = _digest(_found(pick(docs, doc_id="doc_id", text="text"), benchmark, window))
+    rows = _found(pick(docs, doc_id="doc_id", text="text"), benchmark, window)
     return rows.select(F.col("__c0").alias("doc_id"), F.col("__words").alias("n_words"), F.col("__hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.col("__items").alias("item_ids"), _contaminated().alias("contaminated"), F.col("__found").alias("matches"))
 
 
-def _contaminated() -> Column:
-    return (F.col("__hit") > 0) & (20 * F.col("__hit") >= F.col("__words"))
-
-
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, all columns kept, that ``contamination`` doesn't call contaminated."""
-    rows = _digest(_found(docs, benchmark, window)).where(~_contaminated())
+    rows = _found(docs, benchmark, window).where(~_contaminated())
     return rows.select(*[f"__c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
