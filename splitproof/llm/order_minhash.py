@@ -8,11 +8,12 @@ signatures if they share the least k-mers and their order, which becomes rarer a
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
@@ -133,12 +134,24 @@ class _Document:
         return text, signature(_merged(self.common, least(numbered_kmers(code_points(text))[self.shared :], self.shared)))
 
 
-def _nested(value: Column, bounds: list[int], low: int = 0) -> Column:
-    """How many of the ascending bounds are at or below the value, by halving."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(value < bounds[mid], _nested(value, bounds[:mid], low)).otherwise(_nested(value, bounds[mid + 1 :], low + mid + 1))
+def _dealt(bounds: list[tuple[int, int]]):
+    """Adds to each row (doc_id, text, key, h) the range it belongs to, and sends the first document of a range to the one before it as well (tail 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # one copy of a first document from each task is enough
+        for batch in batches:
+            at = list(zip(batch["key"].to_pylist(), batch["h"].to_pylist(), strict=True))
+            part = [bisect_right(bounds, x) - 1 for x in at]
+            extra = []
+            for i, (p, x) in enumerate(zip(part, at, strict=True)):
+                if x == bounds[p] and p not in sent:
+                    sent.add(p)
+                    extra.append(i)
+            for rows, to, tail in ((batch, part, 0), (batch.take(pa.array(extra, pa.int64())), [(part[i] - 1) % len(bounds) for i in extra], 1)):
+                if rows.num_rows:
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(to, pa.int32()), pa.array([tail] * len(to), pa.int32())], [*rows.schema.names, "part", "tail"])
+
+    return run
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -146,46 +159,40 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     doc_id is an integer. A null text counts as the empty text. The next document is the one with the next doc_id (after the last:
     the first, so a single document is followed by itself); rows without a doc_id come before all others, and rows that repeat a
-    doc_id follow each other in the order of a hash of their texts. Empty texts have empty fingerprints, and are alike.
+    doc_id follow each other in the order of a hash of their texts. Empty texts have empty fingerprints, and are alike. An empty
+    table gives no rows.
 
-    Texts are shuffled once, into ranges of doc_id whose bounds, one for each shuffle partition, come from the ids alone; the first
-    document of a range is also sent to the range before it. Each task streams its range and holds two documents.
+    Texts are shuffled once, into ranges of (doc_id, hash of the text), so that rows that share a doc_id, or have none, spread too.
+    The ranges' bounds, one for each shuffle partition at most, come from ids and hashes alone and reach the workers as data; the
+    first document of a range is also sent to the range before it. Each task streams its range and holds two documents; rows that
+    repeat both doc_id and text cost no second fingerprint.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    null = -(1 << 63)
-    key = F.coalesce(F.col("doc_id"), F.lit(null)).cast("long")
-    ids = pick(docs, doc_id="doc_id").select(key.alias("key"))
-    cuts = (parts > 1 and ids.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], 100 * parts)).first()[0]) or []
-    bounds = sorted({int(c) for c in cuts})
-    where = _nested(F.col("key"), bounds)
-    firsts = {r.part: r.first for r in ids.groupBy(where.alias("part")).agg(F.min("key").alias("first")).collect()}
-    used = sorted(firsts)
-    before = {p: used[i - 1] for i, p in enumerate(used)}
-    every = range(len(bounds) + 1)
-    lead = F.get(F.array(*[F.lit(firsts.get(p)).cast("long") for p in every]), F.col("part"))
-    back = F.get(F.array(*[F.lit(before.get(p)).cast("int") for p in every]), F.col("part"))
-    rows = pick(docs, doc_id="doc_id", text="text").withColumn("key", key).withColumn("part", where).withColumn("text", F.coalesce("text", F.lit("")))
-    own, extra = F.struct(F.col("part").alias("part"), F.lit(0).alias("tail")), F.struct(back.alias("part"), F.lit(1).alias("tail"))
-    rows = rows.select("doc_id", "text", "key", F.explode(F.when(F.col("key") == lead, F.array(own, extra)).otherwise(F.array(own))).alias("to"))
-    rows = rows.select("doc_id", "text", "key", F.col("to.part").alias("part"), F.col("to.tail").alias("tail"))
-    dealt = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "tail", "key", F.xxhash64("text"))
+    rows = pick(docs, doc_id="doc_id", text="text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long").alias("key")).withColumn("h", F.xxhash64("text"))
+    ranges = rows.select("key", "h").repartitionByRange(parts, "key", "h").groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "h")).alias("first"))
+    bounds = sorted((r.first.key, r.first.h) for r in ranges.collect())
     kind = dict(rows.dtypes)["doc_id"]
+    dealt = rows.mapInArrow(_dealt(bounds), f"doc_id {kind}, text string, key long, h long, part int, tail int")
+    dealt = dealt.repartitionById(max(1, len(bounds)), F.col("part")).sortWithinPartitions("part", "tail", "key", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, whose = None, None
+        last, whose, before, row = None, None, None, None
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
             for part, tail, doc_id, text in zip(*(batch[n].to_pylist() for n in ("part", "tail", "doc_id", "text")), strict=True):
-                if last is not None and whose[0] == part:
-                    now = _Document(text)
+                if last is None:
+                    if not tail:
+                        last, whose = _Document(text), (part, doc_id)
+                    continue
+                now = last if text == last.text else _Document(text)
+                if before is None or before[0] is not last or before[1] is not now:
                     edited, its = last.edited(text)
-                    row = (whose[1], last.n_chars, hashlib.sha256(edited.encode()).hexdigest(), _hex(last.signature), _hex(its), likeness(last.signature, its), likeness(last.signature, now.signature))
-                    for n, v in zip(out, row, strict=True):
-                        out[n].append(v)
-                    last, whose = (now, (part, doc_id)) if not tail else (None, None)
-                elif not tail:
-                    last, whose = _Document(text), (part, doc_id)
+                    row = (last.n_chars, hashlib.sha256(edited.encode()).hexdigest(), _hex(last.signature), _hex(its), likeness(last.signature, its), likeness(last.signature, now.signature))
+                    before = (last, now)
+                for n, v in zip(out, (whose[1], *row), strict=True):
+                    out[n].append(v)
+                last, whose = (now, (part, doc_id)) if not tail else (None, None)
             yield pa.record_batch({"doc_id": pa.array(out.pop("doc_id"), batch["doc_id"].type), **{n: pa.array(v, t) for (n, v), t in zip(out.items(), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)}})
 
     return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
