@@ -23,6 +23,8 @@ from .common import numbered, pick
 GRAM, POSITIONS, HASHES = 4, 1 << 18, 3
 #: The classifier is fitted on at most so many documents of each language, those of the least hashes of doc_id.
 SAMPLE_PER_LANGUAGE = 2_000
+#: So many languages are learned at most, those that have most documents; rarer values of a dirty ``lang`` column are not.
+MOST_LANGUAGES = 1_024
 #: A n-gram enters a language's filter if this share of the language's sample documents use it.
 COMMON = 0.01
 UNDETERMINED = "und"
@@ -98,16 +100,16 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame) -> Filters:
     """Filters from the documents (doc_id, text, lang) that aren't held out and whose text and lang aren't null.
 
-    What reaches the driver is bounded: a count for each language, and a row for each position and 32 languages.
+    What reaches the driver is bounded: a count for each of MOST_LANGUAGES languages, and a row for each position and 32 languages.
     """
     known = pick(docs, doc_id="doc_id", text="text", lang="lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = dict(sorted((r.lang, r["count"]) for r in known.groupBy("lang").count().collect()))
+    counts = dict(sorted((r.lang, r["count"]) for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()))
     if not counts:
         return Filters([], [])
     languages, span = list(counts), 1 << 40
-    cut = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, 1.1 * SAMPLE_PER_LANGUAGE / n) * span))])
+    learned = F.broadcast(docs.sparkSession.createDataFrame([(lang, i, int(min(1.0, 1.1 * SAMPLE_PER_LANGUAGE / n) * span), COMMON * min(n, SAMPLE_PER_LANGUAGE)) for i, (lang, n) in enumerate(counts.items())], "lang string, i int, cut long, least double"))
     order = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(span))
-    some = known.withColumn("__h", order).where(F.col("__h") < cut[F.col("lang")])
+    some = known.withColumn("__h", order).join(learned, "lang").where(F.col("__h") < F.col("cut"))
     some = some.withColumn("__n", F.row_number().over(W.partitionBy("lang").orderBy("__h", "doc_id"))).where(F.col("__n") <= SAMPLE_PER_LANGUAGE).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,11 +124,9 @@ def fit(docs: DataFrame) -> Filters:
                 yield pa.record_batch({"lang": pa.array([lang] * len(x), pa.string()), "gram": x.view(np.int64), "n": n})
 
     used = some.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    least = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, COMMON * min(n, SAMPLE_PER_LANGUAGE))])
-    place = F.create_map(*[F.lit(v) for i, lang in enumerate(languages) for v in (lang, i)])
     bits = POSITIONS.bit_length() - 1
     at = F.array(*[F.shiftrightunsigned("gram", k * bits).bitwiseAND(F.lit(POSITIONS - 1).cast("long")) for k in range(HASHES)])
-    common = used.where(F.col("n") >= least[F.col("lang")]).withColumn("i", place[F.col("lang")])
+    common = used.join(learned, "lang").where(F.col("n") >= F.col("least"))
     rows = common.select(F.explode(at).alias("position"), (F.col("i") / 32).cast("int").alias("word"), F.expr("shiftleft(1L, i % 32)").alias("mask")).groupBy("position", "word").agg(F.bit_or("mask").alias("mask"))
     return Filters(languages, [tuple(r) for r in rows.collect()], max(range(len(languages)), key=lambda i: counts[languages[i]]))
 
