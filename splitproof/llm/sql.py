@@ -46,4 +46,51 @@ SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(s
 FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_hash_tree_shards": OP1, "op6_line_dedup": OP6}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP4 = f"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
+), items AS (
+  SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL
+), windows AS MATERIALIZED (
+  SELECT DISTINCT item, n, array_to_string(w[s + 1:s + n], ' ') AS win FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(greatest(1, len(w) - 12))) AS s FROM items WHERE len(w) > 0)
+), placed AS (
+  SELECT r, p, n, array_to_string(w[p + 1:p + n], ' ') AS win FROM (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS p FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), hits AS MATERIALIZED (
+  SELECT r, p, n, item FROM placed JOIN windows USING (n, win)
+), covered AS (
+  SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT r, p, n FROM hits)) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+"""
+
+#: Texts as hexadecimal digits, two a byte; a string is named by its MD5. Texts are cut into pieces of 2,000 bytes first, as a place far into a long text is slow to reach.
+OP8 = """
+WITH docs AS MATERIALIZED (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), pieces AS (
+  SELECT doc_id, a, substr(h, 2 * a + 1, 2 * 2099) AS piece FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 2000)) AS a FROM docs)
+), strings AS MATERIALIZED (
+  SELECT doc_id, a + p AS start, md5_number(substr(piece, 2 * p + 1, 200)) AS name FROM (SELECT doc_id, a, piece, unnest(range(least(2000, length(piece) // 2 - 99))) AS p FROM pieces)
+), again AS MATERIALIZED (
+  SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY name ORDER BY doc_id, start) AS i FROM strings) WHERE i > 1
+), spans AS MATERIALIZED (
+  SELECT doc_id, min(start) AS a, max(start) + 100 AS b FROM (
+    SELECT doc_id, start, sum(fresh) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM (SELECT doc_id, start, (start > coalesce(lag(start) OVER (PARTITION BY doc_id ORDER BY start), -1000) + 100)::INT AS fresh FROM again)
+  ) GROUP BY doc_id, span
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans UNION ALL SELECT doc_id, max(b), 1::BIGINT << 30 FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM gaps JOIN docs USING (doc_id) GROUP BY doc_id
+), removed AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id) LEFT JOIN removed r USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_hash_tree_shards": OP1, "op4_suffix_array_decontamination": OP4, "op6_line_dedup": OP6, "op8_prefix_free_dedup": OP8}
