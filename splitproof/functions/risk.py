@@ -8,9 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Factors that a product may have; beyond that its logarithm is summed in closed form.
+FACTORS = 4_096
+
+
 def all_drawn(population: Column, drawn: Column, size: Column) -> Column:
-    """The chance that all ``size`` files of a group are among ``drawn`` of ``population``."""
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), size.cast("long") - 1), F.lit(1.0), lambda a, i: a * F.greatest(drawn - i, F.lit(0)) / (population - i))
+    """The chance that all ``size`` files of a group are among ``drawn`` of ``population``.
+
+    A product of (drawn - i) / (population - i) over the group's files, or, which is the same, of (population - size - i) /
+    (population - i) over the files that aren't drawn, whichever are fewer. Of more than FACTORS the logarithm is summed by Euler and
+    Maclaurin's formula, so that a group of any size takes a bounded row.
+    """
+    few = size <= population - drawn
+    n = F.when(few, size).otherwise(population - drawn).cast("long")
+    top = F.when(few, drawn).otherwise(population - size)
+    product = F.aggregate(F.sequence(F.lit(1).cast("long"), F.when(n <= FACTORS, n).otherwise(1)), F.lit(1.0), lambda a, i: a * F.greatest(top - i + 1, F.lit(0)) / (population - i + 1))
+    ends = lambda f: f(n) - f(F.lit(0))
+    whole = n * F.log(top / population) - (top - n) * F.log1p(-n / top) + (population - n) * F.log1p(-n / population)
+    step = ends(lambda i: F.log(top - i) - F.log(population - i)) / 2
+    slope = ends(lambda i: -1.0 / (top - i) + 1.0 / (population - i)) / 12
+    # with fewer than 64 to spare the chance is below what a double holds
+    summed = F.when(top - n < 64, 0.0).otherwise(F.exp(whole - step + slope))
+    return F.when(n <= 0, 1.0).when(n <= FACTORS, product).otherwise(summed)
 
 
 def crossing(population: Column, test: Column, size: Column) -> Column:

@@ -126,3 +126,16 @@ def coarsening_conflicts(records: DataFrame, partitions: DataFrame, key: str = "
 def stem(path: Column) -> Column:
     """a path without its file suffix and augmentation mark, lower-cased."""
     return F.lower(F.regexp_replace(F.regexp_replace(path, r"\.[^./]+$", ""), r"(?i)_aug_[0-9]+$", ""))
+
+
+def lookup(rows: DataFrame, key: dict[str, Column], *order: str) -> DataFrame:
+    """the first row, by ``order``, whose columns equal the key; a null of the key matches nulls."""
+    for name, value in key.items():
+        rows = rows.where(F.col(name).eqNullSafe(value))
+    return rows.orderBy(*order).limit(1)
+
+
+def sorted_distinct(rows: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a dimension column in order, with their zero-based ``place``."""
+    values = rows.select(column).distinct()
+    return values.withColumn("place", F.row_number().over(W.orderBy(column)) - 1).orderBy(column)

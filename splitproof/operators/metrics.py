@@ -5,8 +5,6 @@ A group's table is (number of classes) squared rows however many predictions it
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,6 +94,14 @@ def best_by(rows: DataFrame, pick: str, keys: list[tuple[str, bool]], *by: str)
     return rows.groupBy(*by).agg(F.max_by(pick, order).alias(pick))
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    """All rows, columns by name."""
-    return reduce(lambda a, b: a.unionByName(b), frames)
+def repaired(predictions: DataFrame, column: str, known: list[str], fallback: str, failed: str = "error") -> DataFrame:
+    """without the rows whose prediction failed; predictions that aren't known become the fallback."""
+    rows = predictions.where(F.col(column) != failed)
+    return rows.withColumn(column, F.when(F.col(column).isin(known), F.col(column)).otherwise(fallback))
+
+
+def over_runs(scores: DataFrame, *by: str) -> DataFrame:
+    """Mean and sample deviation (0 for a single run) of the measures that ``summary`` gives, over the runs of each group."""
+    measures = ("accuracy", "balanced_accuracy", "macro_f1", "kappa")
+    stats = [f(m) for m in measures for f in (lambda m: F.round(F.avg(m), 7).alias(f"{m}_mean"), lambda m: F.round(F.coalesce(F.stddev_samp(m), F.lit(0.0)), 7).alias(f"{m}_std"))]
+    return scores.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), *stats)

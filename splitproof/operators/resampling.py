@@ -35,6 +35,20 @@ def random_split(rows: DataFrame, key: str, seeds: DataFrame, share: float = 0.1
     return placed.join(F.broadcast(size)).withColumn("role", F.when(F.col("__place") < F.col("__quota"), "test").otherwise("train")).drop("__draw", "__place", "__quota")
 
 
+def held_slice(rows: DataFrame, key: str, by: str, share: float, least: int, seed: int | str) -> DataFrame:
+    """Adds ``held`` to each group's first max(least, round(share * n)) rows in a random order."""
+    sizes = rows.groupBy(by).agg(F.greatest(F.lit(least).cast("long"), F.bround(F.count(F.lit(1)) * share).cast("long")).alias("__quota"))
+    placed = ranked(rows.withColumn("__draw", draw(seed, by, key) if by != "__all" else draw(seed, key)), "__draw", key, by, out="__place")
+    return placed.join(sizes, by).withColumn("held", F.col("__place") < F.col("__quota")).drop("__draw", "__place", "__quota")
+
+
+def drawn_sample(rows: DataFrame, key: str, by: str, sizes: DataFrame, seeds: DataFrame, name: str) -> DataFrame:
+    """R11 for many seeds at once: (seed, key) of as many random rows of each class as ``sizes`` (by, n) asks for, or as there are."""
+    every = rows.select(key, by).withColumn("seed", F.explode(F.lit(seeds.agg(F.collect_list("seed")).scalar())))
+    placed = ranked(every.withColumn("__draw", draw(name, "seed", key)), "__draw", key, "seed", by, out="__place")
+    return placed.join(sizes, by).where(F.col("__place") < F.col("n")).select("seed", key)
+
+
 def group_split(rows: DataFrame, group: str, seeds: DataFrame, share: float = 0.15) -> DataFrame:
     """R2: like ``random_split`` over groups instead of rows, so no group stands on both sides; the share of rows varies."""
     parts = random_split(rows.select(group).distinct(), group, seeds, share)
@@ -84,20 +98,45 @@ def bootstrap_counts(cells: DataFrame, group: str, replicates: int, seed: int =
     return times.join(groups, "__place").join(cells, group).groupBy("replicate", "truth", "pred").agg(F.sum(F.col("n") * F.col("__times")).alias("n"))
 
 
+def permuted(place: Column, replicate: Column, size: Column, seed: int) -> Column:
+    """A place below ``size``, permuted by a keyed network of its own for each replicate: no two places of a replicate meet, and nothing is sorted.
+
+    Four rounds over two factors, whose product is at least ``size`` and over it by less than the first; what lands beyond is sent on, as often as it takes.
+    """
+    a = F.ceil(F.sqrt(size.cast("double"))).cast("long")
+    b = F.ceil(size / a).cast("long")
+    noise = lambda i, v: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), replicate.cast("string"), i.cast("string"), v.cast("string"))), 1, 13), 16, 10).cast("long")
+
+    def network(v: Column) -> Column:
+        def turn(acc: Column, i: Column) -> Column:
+            x, y = acc["x"], acc["y"]
+            odd = i % 2 == 1
+            return F.struct(F.when(odd, (x + noise(i, y)) % a).otherwise(x).alias("x"), F.when(odd, y).otherwise((y + noise(i, x)) % b).alias("y"))
+
+        start = F.struct(F.floor(v / b).cast("long").alias("x"), (v % b).alias("y"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, turn, lambda acc: acc["x"] * b + acc["y"])
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(-1).cast("long"), lambda v, i: F.when((i == 1) | (v >= size), network(F.when(i == 1, place).otherwise(v))).otherwise(v))
+    return F.when(walked < size, walked).otherwise(F.raise_error(F.lit("a permutation did not end")))
+
+
 def permuted_conflicts(rows: DataFrame, key: str, group: str, label: str, replicates: int, seed: int = 1729) -> DataFrame:
-    """(replicate, conflicted): duplicate groups with several labels after labels are dealt to rows at random.
+    """(replicate, conflicted): duplicate groups with several labels after labels are dealt to rows at random, without replacement.
 
-    Rows of groups of one can't conflict, but take part in the dealing.
+    Rows of groups of one can't conflict, so that only the others are dealt labels: each has a place of its own, which a keyed
+    permutation of each replicate sends into all labels in their order, where the classes' counts tell the label. Rows aren't
+    sorted within replicates, and only (replicate, group) sums are shuffled.
     """
-    spark = rows.sparkSession
-    fixed = ranked(rows.select(key, label).withColumn("__draw", draw(f"{seed}-fixed", key)).withColumn("__all", F.lit(0)), "__draw", key, "__all").select("place", F.col(label).alias("dealt"))
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(group)
-    reps = spark.range(replicates).withColumnRenamed("id", "replicate").withColumn("one", F.lit(1))
-    every = rows.select(key, group).withColumn("one", F.lit(1)).join(F.broadcast(reps), "one").drop("one")
-    placed = ranked(every.withColumn("__draw", draw(seed, "replicate", key)), "__draw", key, "replicate")
-    dealt = placed.join(sizes, group, "left_semi").join(fixed, "place")
-    per = dealt.groupBy("replicate", group).agg(F.count_distinct("dealt").alias("labels"))
-    return per.groupBy("replicate").agg(F.count_if(F.col("labels") > 1).alias("conflicted"))
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    packed = counts.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "n"))).alias("classes"), F.sum("n").alias("total"))  # labels are a dimension
+    several = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(group)
+    some = rows.select(key, group).join(several, group, "left_semi").withColumn("__draw", draw(f"{seed}-place", key)).withColumn("__all", F.lit(0))
+    placed = ranked(some, "__draw", key, "__all").select(group, "place").join(F.broadcast(packed))
+    every = placed.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+    at = every.select("replicate", group, "classes", permuted(F.col("place"), F.col("replicate"), F.col("total"), seed).alias("at"))
+    place_of = F.aggregate("classes", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).alias("nth")), lambda acc, c: F.struct((acc["upto"] + c["n"]).alias("upto"), (acc["nth"] + F.when(F.col("at") >= acc["upto"] + c["n"], 1).otherwise(0)).alias("nth")))["nth"]
+    per = at.select("replicate", group, place_of.alias("dealt")).groupBy("replicate", group).agg((F.min("dealt") != F.max("dealt")).alias("several"))
+    return per.groupBy("replicate").agg(F.count_if("several").alias("conflicted"))
 
 
 def permutation_summary(null: DataFrame, observed: DataFrame) -> DataFrame:

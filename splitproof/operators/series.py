@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .resampling import draw, ranked
+
 
 def framed(events: DataFrame, series: str, order: list[str]) -> DataFrame:
     """V5: adds the zero-based ``frame`` of each row in its series."""
@@ -63,18 +65,32 @@ def windows(rows: DataFrame, series: str, values: list[str], size: int = 15, ste
     return made.where((F.col("frame") % step == 0) & (F.size(values[0]) == size)).withColumnRenamed("frame", "start")
 
 
+#: Persons that a leave-one-out table may have: its rows are rows times persons.
+MOST_FOLDS = 1_000
+
+
 def leave_one_out(rows: DataFrame, person: str) -> DataFrame:
-    """Every row in every fold; its role is test in the fold of its own person."""
-    folds = rows.select(F.col(person).alias("fold")).distinct().withColumn("one", F.lit(1))
-    out = rows.withColumn("one", F.lit(1)).join(F.broadcast(folds), "one").drop("one")
+    """Every row in every fold; its role is test in the fold of its own person. More than MOST_FOLDS persons raise ValueError: ``fold_totals`` has no such limit."""
+    found = [r[0] for r in rows.select(F.col(person)).distinct().limit(MOST_FOLDS + 1).collect()]
+    if len(found) > MOST_FOLDS:
+        raise ValueError("too many persons for a table of rows times persons")
+    out = rows.withColumn("fold", F.explode(F.array(*[F.lit(p) for p in found])))
     return out.withColumn("role", F.when(F.col(person) == F.col("fold"), "test").otherwise("train"))
 
 
-def oversampled(rows: DataFrame, label: str, key: str) -> DataFrame:
-    """Each class repeated whole, and in part, up to the size of the largest: adds ``copy``."""
+def fold_totals(rows: DataFrame, person: str, value: str) -> DataFrame:
+    """(fold, role, n, total) of every leave-one-out fold, from one sum for each person: train is all but the person's own."""
+    own = rows.groupBy(F.col(person).alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    every = own.agg(F.sum("n").alias("all_n"), F.sum("total").alias("all_total"))
+    sides = F.array(F.struct(F.lit("test").alias("role"), F.col("n").alias("n"), F.col("total").alias("total")), F.struct(F.lit("train").alias("role"), (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_total") - F.col("total")).alias("total")))
+    return own.join(F.broadcast(every)).select("fold", F.explode(sides).alias("x")).select("fold", "x.*").where("n > 0")
+
+
+def oversampled(rows: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
+    """Each class repeated whole, and in part, up to the size of the largest: adds ``copy``. Which rows the part has is drawn at random."""
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     most = counts.agg(F.max("n").alias("most"))
-    place = F.row_number().over(W.partitionBy(label).orderBy(key)) - 1
-    out = rows.withColumn("i", place).join(F.broadcast(counts.join(most)), label)
+    placed = ranked(rows.withColumn("__draw", draw(seed, key)), "__draw", key, label, out="i").drop("__draw")
+    out = placed.join(counts, label).join(F.broadcast(most))
     copies = F.floor((F.col("most") - 1 - F.col("i")) / F.col("n"))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long")))).drop("i", "n", "most")

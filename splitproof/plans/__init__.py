@@ -6,7 +6,7 @@ from importlib import import_module
 from types import ModuleType
 
 #: Modules that register queries.
-MODULES = ["audit", "scores", "risk", "resampling", "series", "streams"]
+MODULES = ["audit", "scores", "risk", "resampling", "protocols", "series", "streams", "sources"]
 
 
 def load() -> ModuleType:

@@ -214,12 +214,15 @@ def edge_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
+@query(f"""WITH RECURSIVE {GROUPS}, ids AS MATERIALIZED (SELECT row_number() OVER () AS e, src, dst FROM edges), ways AS (SELECT e, src AS a, dst AS b FROM ids UNION ALL SELECT e, dst, src FROM ids),
+walk(e, node) AS (SELECT e, src FROM ids UNION SELECT w.e, y.b FROM walk w JOIN ways y ON y.a = w.node AND y.e <> w.e), sizes AS (SELECT component, count(*) AS size FROM grouped GROUP BY component),
+sides AS (SELECT i.e, i.src, i.dst, count(*) AS near, bool_or(w.node = i.dst) AS joined FROM ids i JOIN walk w USING (e) GROUP BY ALL)
+SELECT component, src, dst, size, array_to_string(list_sort(list_filter(CASE WHEN joined THEN [size] ELSE [near, size - near] END, lambda s: s > 1)), ',') AS "left" FROM sides JOIN grouped ON node = src JOIN sizes USING (component)""")
 def edge_omissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of each component when one of its edges is left out."""
+    """The sizes of what is left of each component when one of its edges is left out."""
     ship(spark)
     edges = _edges(spark, sf_dir).select("src", "dst")
-    return graph.edge_omissions(edges, graph.components(edges))
+    return graph.edge_omissions(edges, graph.components(edges)).withColumn("left", F.array_join("left", ","))
 
 
 _POINTS = """pts AS (

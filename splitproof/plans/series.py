@@ -68,10 +68,17 @@ def supported_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leave_one_person_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R10."""
     rows = framed(spark, sf_dir).withColumn("person", F.col("user_id") % 5)
-    return op.leave_one_out(rows, "person").groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return op.fold_totals(rows, "person", "value").select("fold", "role", "n", F.round(F.col("total") / F.col("n"), 6).alias("mean"))
 
 
-@query("""WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), m AS (SELECT max(n) AS most FROM r),
+@query(f"""WITH {FRAMED}, p AS (SELECT user_id % 3 AS person, event_id FROM framed) SELECT f.fold, CASE WHEN p.person = f.fold THEN 'test' ELSE 'train' END AS role, count(*) AS n, sum(event_id)::BIGINT AS ids FROM p, (SELECT DISTINCT person AS fold FROM p) f GROUP BY ALL""")
+def leave_one_out_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R10, as a table of every row in every fold."""
+    rows = framed(spark, sf_dir).select("event_id", (F.col("user_id") % 3).alias("person"))
+    return op.leave_one_out(rows, "person").groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("""WITH r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ('0x' || substr(md5('0|' || event_id), 1, 13))::BIGINT, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), m AS (SELECT max(n) AS most FROM r),
 o AS (SELECT event_id, event_type, unnest(range((most - 1 - i) // n + 1)) AS copy FROM r, m) SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS id_sum, max(copy) AS copies FROM o GROUP BY event_type""")
 def balanced_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every type repeated up to the most frequent one's size."""

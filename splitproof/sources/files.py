@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import io
-import wave
+import re
+import struct
+import zipfile
 from collections.abc import Iterator
+from math import gcd
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -129,23 +133,148 @@ def features(rows: DataFrame, stored: DataFrame, path: str, label: str, classes:
     return rows.withColumn("stem", stem).join(stored, "stem").withColumn("one_hot", hot)
 
 
-def _decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        out = []
-        for path, content in zip(f["path"], f["content"], strict=True):
-            with wave.open(io.BytesIO(content)) as w:
-                width, rate, lanes = w.getsampwidth(), w.getframerate(), w.getnchannels()
-                raw = w.readframes(w.getnframes())
-            x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128 if width == 1 else np.frombuffer(raw, f"<i{width}").astype(np.float32) / float(1 << (8 * width - 1))
-            out.append((path, rate, x.reshape(-1, lanes).mean(1).tolist()))
-        yield pd.DataFrame(out, columns=["path", "rate", "samples"])
+def wave_samples(content: bytes) -> tuple[int, np.ndarray]:
+    """The rate and the mono samples (float32, -1 to 1) of a RIFF WAVE file: whole numbers of 8 to 32 bits or floats of 32 or 64."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        raise ValueError("not a WAVE file")
+    at, form = 12, None
+    while at + 8 <= len(content):
+        name, size = content[at : at + 4], int.from_bytes(content[at + 4 : at + 8], "little")
+        body = content[at + 8 : at + 8 + size]
+        if name == b"fmt ":
+            kind, lanes, rate, _, _, bits = struct.unpack_from("<HHIIHH", body)
+            form = (struct.unpack_from("<H", body, 24)[0] if kind == 0xFFFE else kind, lanes, rate, bits // 8)
+        elif name == b"data" and form:
+            kind, lanes, rate, width = form
+            if kind == 3:
+                x = np.frombuffer(body, f"<f{width}").astype(np.float32)
+            elif width == 1:
+                x = (np.frombuffer(body, np.uint8).astype(np.float32) - 128) / 128
+            else:  # the bytes become the upper ones of 32 bits
+                wide = np.zeros((len(body) // width, 4), np.uint8)
+                wide[:, 4 - width :] = np.frombuffer(body, np.uint8).reshape(-1, width)
+                x = wide.view("<i4").ravel().astype(np.float32) / np.float32(1 << 31)
+            return rate, x.reshape(-1, lanes).mean(1, dtype=np.float32)
+        at += 8 + size + size % 2
+    raise ValueError("a WAVE file without samples")
+
+
+def resampled_sound(x: np.ndarray, rate: int, target: int) -> np.ndarray:
+    """Polyphase resampling by target / rate with a Kaiser-windowed low-pass of ten zero crossings a side; equal rates change nothing."""
+    step = gcd(rate, target)
+    up, down = target // step, rate // step
+    if up == down or not len(x):
+        return x
+    most = max(up, down)
+    side = 10 * most
+    taps = np.sinc(np.arange(-side, side + 1) / most) * np.kaiser(2 * side + 1, 5.0)
+    taps *= up / taps.sum()
+    out = np.zeros(-(-len(x) * up // down))
+    places = np.arange(len(out)) * down + side  # in the stretched input, where every up-th place holds a sample
+    padded = np.r_[np.zeros(2 * side // up + 1), x, np.zeros(2 * side // up + 1)]
+    for k in range(2 * side // up + 1):
+        tap = places % up + k * up
+        inside = tap <= 2 * side
+        out[inside] += taps[tap[inside]] * padded[places[inside] // up - k + 2 * side // up + 1]
+    return out.astype(np.float32)
+
+
+def sounds(spark: SparkSession, root: str, target: int | None = None) -> DataFrame:
+    """(path, rate, samples) of WAVE files: mono, from -1 to 1, at the rate ``target`` if one is given."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(root).select(_relative(F.col("path"), root).alias("path"), "content")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for path, content in zip(f["path"], f["content"], strict=True):
+                rate, x = wave_samples(content)
+                out.append((path, target or rate, resampled_sound(x, rate, target or rate).tolist()))
+            yield pd.DataFrame(out, columns=["path", "rate", "samples"])
+
+    return files.mapInPandas(run, "path string, rate int, samples array<float>")
+
+
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def sheet_rows(content: bytes) -> list[list[str | None]]:
+    """The first sheet of an Office Open XML workbook: a row of texts for each row, numbers as they are written, null where a cell is empty."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet[0-9]+\.xml", n))
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in si.iter(f"{_SHEET}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_SHEET}si")]
+        sheet = ElementTree.fromstring(z.read(min(names, key=lambda n: (len(n), n))))
+    out = []
+    for row in sheet.iter(f"{_SHEET}row"):
+        cells: list[str | None] = []
+        for c in row.iter(f"{_SHEET}c"):
+            at = 0
+            for letter in re.sub("[^A-Z]", "", c.get("r", "")):
+                at = 26 * at + ord(letter) - 64
+            cells += [None] * (at - 1 - len(cells))
+            value = c.find(f"{_SHEET}v")
+            inline = c.find(f"{_SHEET}is")
+            text = "".join(t.text or "" for t in inline.iter(f"{_SHEET}t")) if inline is not None else value.text if value is not None else None
+            cells.append(shared[int(text)] if c.get("t") == "s" and text is not None else text)
+        out.append(cells)
+    return out
+
+
+def sheets(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The rows of the first sheets of the workbooks (.xlsx) below ``root``. The first row names the columns; those of ``schema`` are read, all texts."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(root).select("content")
+    names = StructType.fromDDL(schema).names
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for content in f["content"]:
+                head, *rows = sheet_rows(content) or [[]]
+                if missing := [n for n in names if n not in head]:
+                    raise ValueError(f"a sheet without {missing}")
+                at = [head.index(n) for n in names]
+                yield pd.DataFrame([[r[i] if i < len(r) else None for i in at] for r in rows], columns=names, dtype=object)
+
+    return files.mapInPandas(run, ", ".join(f"`{n}` string" for n in names))
+
+
+def video_frames(content: bytes) -> Iterator[bytes]:
+    """The frames of a YUV4MPEG2 stream with 8 bits: their planes, one behind another."""
+    head, _, rest = content.partition(b"\n")
+    marks = {m[:1]: m[1:].decode() for m in head.split(b" ")[1:]}
+    if not head.startswith(b"YUV4MPEG2") or b"W" not in marks or b"H" not in marks:
+        raise ValueError("not a YUV4MPEG2 stream")
+    width, height, layout = int(marks[b"W"]), int(marks[b"H"]), marks.get(b"C", "420")
+    chroma = {"mono": 0, "444": 2 * width * height, "422": 2 * ((width + 1) // 2) * height}.get(layout, 2 * ((width + 1) // 2) * ((height + 1) // 2))
+    at = 0
+    while at < len(rest):
+        start = rest.index(b"\n", at) + 1
+        if not rest.startswith(b"FRAME", at):
+            raise ValueError("a stream without its frame mark")
+        at = start + width * height + chroma
+        yield rest[start:at]
+
+
+def frames(spark: SparkSession, root: str) -> DataFrame:
+    """(path, frame, content) of every frame, from 0, of the uncompressed videos (.y4m) below ``root``. Compressed ones need a decoder, which isn't here."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.y4m").load(root).select(_relative(F.col("path"), root).alias("path"), "content")
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in parts:
+            for path, content in zip(f["path"], f["content"], strict=True):
+                for i, frame in enumerate(video_frames(content)):
+                    yield pd.DataFrame({"path": [path], "frame": [i], "content": [frame]})
 
-def sounds(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rate, samples) of WAV files with 8, 16 or 32 bits: mono, from -1 to 1. ``series.resampled`` changes rates."""
-    ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(root).select("path", "content")
-    return files.mapInPandas(_decoded, "path string, rate int, samples array<float>")
+    return files.mapInPandas(run, "path string, frame long, content binary")
+
+
+def session_key(path: Column) -> Column:
+    """what a file's name has before its first hyphen, without the last three characters."""
+    first = F.substring_index(F.element_at(F.split(path, "/"), -1), "-", 1)
+    return F.substring(first, F.lit(1), F.greatest(F.char_length(first) - 3, F.lit(0)))
 
 
 def speech_share(intervals: Column, samples: Column) -> Column:

@@ -44,6 +44,25 @@ def partitioned(rows: DataFrame, path: str, key: str, *by: str) -> int:
     return n
 
 
+def placed(rows: DataFrame, root: str, most: int = 10_000) -> int:
+    """K5: each (rel, content) as a file of its own below ``root``; those that stand there stay. Gives how many were written. More than
+    ``most`` small files belong into ``partitioned``."""
+    spark = rows.sparkSession
+    found = rows.select("rel", F.col("content").cast("binary")).take(most + 1)
+    if len(found) > most:
+        raise ValueError("too many files to be placed one by one")
+    path, n = spark._jvm.org.apache.hadoop.fs.Path, 0
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in found:
+        target = path(f"{root}/{r.rel}")
+        if not fs.exists(target):
+            out = fs.create(target, False)
+            out.write(bytearray(r.content))
+            out.close()
+            n += 1
+    return n
+
+
 def macros(rows: DataFrame, name: str, value: str) -> DataFrame:
     """K7: one text macro a row, numbers with separators and three places where they have any."""
     number = F.col(value)
@@ -51,10 +70,12 @@ def macros(rows: DataFrame, name: str, value: str) -> DataFrame:
     return rows.select(F.concat(F.lit("\\newcommand{\\"), F.col(name), F.lit("}{"), shown, F.lit("}")).alias("line"))
 
 
-def ledger(lines: DataFrame) -> DataFrame:
-    """K8: (name, value, sha256) of the macros in text lines (column ``line``)."""
-    name, value = (F.regexp_extract("line", r"^\\newcommand\{\\([A-Za-z]+)\}\{(.*)\}$", i) for i in (1, 2))
-    return lines.where(F.col("line").rlike(r"^\\newcommand\{\\[A-Za-z]+\}\{.*\}$")).select(name.alias("name"), value.alias("value"), F.sha2("line", 256).alias("sha256"))
+def ledger(texts: DataFrame) -> DataFrame:
+    """K8: (name, value, source) of the macros in whole texts (column ``value``); source is the text's SHA-256."""
+    lines = texts.select(F.sha2("value", 256).alias("source"), F.explode(F.split("value", "\n")).alias("line"))
+    pattern = r"^\\newcommand\{\\([A-Za-z]+)\}\{(.*)\}$"
+    name, value = (F.regexp_extract("line", pattern, i) for i in (1, 2))
+    return lines.where(F.col("line").rlike(pattern)).select(name.alias("name"), value.alias("value"), "source")
 
 
 def differences(rows: DataFrame, frozen: DataFrame) -> DataFrame:

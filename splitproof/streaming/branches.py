@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 BRANCHES = ("view", "click", "purchase", "signup", "error")
 
 
-def fired(events: DataFrame, period: str, order: str = "ts") -> DataFrame:
-    """The first event of each user in each tumbling period: (user_id, start, event_id, value). Works on streams too."""
+def fired(events: DataFrame, period: str, order: str = "ts", gate: Column | None = None) -> DataFrame:
+    """The first event of each user in each tumbling period: (user_id, start, event_id, value). With a ``gate`` only events
+    that pass it fire. Works on streams too."""
+    events = events if gate is None else events.where(gate)
     first = F.struct(order, "event_id", "value")
     out = events.groupBy(F.window("ts", period).alias("w"), "user_id").agg(F.min(first).alias("f"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("f.event_id").alias("event_id"), F.col("f.value").alias("value"))
@@ -36,6 +38,15 @@ def latest_batch(events: DataFrame, branches: tuple[str, ...]) -> DataFrame:
     return events.select("user_id", "event_id", "ts", *[own(b) for b in branches])
 
 
+def fused(latest: DataFrame, branches: tuple[str, ...]) -> DataFrame:
+    """One struct of all branches with what they say together: the branch of the greatest value (ties: the first), that value, and a line of reasons."""
+    known = F.filter(F.array(*[F.struct(F.col(b).alias("v"), F.lit(-i).alias("i"), F.lit(b).alias("name")) for i, b in enumerate(branches)]), lambda x: x["v"].isNotNull())
+    best = F.array_max(known)
+    reasons = F.array_join(F.transform(known, lambda x: F.concat(x["name"], F.lit("="), F.round(x["v"]).cast("long").cast("string"))), ", ")
+    record = F.struct(*branches, best["name"].alias("zone"), best["v"].alias("confidence"), reasons.alias("reasoning"))
+    return latest.withColumn("record", record)
+
+
 def latest_stream(events: DataFrame, branches: tuple[str, ...]) -> DataFrame:
     """X5, X6 over a stream: the state of a user is one value for each branch. Events of one micro-batch are taken in order of time."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout

@@ -4,6 +4,7 @@ import hashlib
 import json
 import wave
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -89,7 +90,31 @@ def test_sinks(spark, tmp_path):
     assert sinks.differences(rows, rows).count() == 0 and sinks.differences(rows, rows.limit(1)).count() == 1
     lines = sinks.macros(spark.createDataFrame([("Files", 1234.0), ("Rate", 0.12345)], "n string, v double"), "n", "v")
     assert sorted(r.line for r in lines.collect()) == ["\\newcommand{\\Files}{1,234}", "\\newcommand{\\Rate}{0.123}"]
-    assert {r.name: r.value for r in sinks.ledger(lines).collect()} == {"Files": "1,234", "Rate": "0.123"}
+    text = "\n".join(r.line for r in lines.collect()) + "\n"
+    found = sinks.ledger(spark.createDataFrame([(text,)], "value string")).collect()
+    assert {(r.name, r.value, r.source) for r in found} == {(n, v, hashlib.sha256(text.encode()).hexdigest()) for n, v in (("Files", "1,234"), ("Rate", "0.123"))}
+    files_ = spark.createDataFrame([("a/b.txt", b"x"), ("c.txt", b"")], "rel string, content binary")
+    assert sinks.placed(files_, str(tmp_path / "placed")) == 2 and sinks.placed(files_, str(tmp_path / "placed")) == 0
+    assert (tmp_path / "placed/a/b.txt").read_bytes() == b"x"
+    with pytest.raises(ValueError):
+        sinks.placed(files_, str(tmp_path / "placed"), most=1)
     h = "0" * 64
     found = sinks.listed(spark.createDataFrame([(f"{h}  a",), (f"{h}  ../b",), (f"{h}  c",)], "line string"), spark.createDataFrame([("a", h), ("c", "1"), ("d", h)], "path string, sha256 string"))
     assert {r.path: r.state for r in found.collect()} == {"a": "same", "../b": "unsafe", "c": "changed", "d": "extra"}
+
+
+def test_resampling():
+    x = np.sin(np.arange(400) / 9).astype(np.float32)
+    assert files.resampled_sound(x, 8000, 8000) is x
+    for rate, target in ((8000, 16_000), (16_000, 8000), (44_100, 16_000), (16_000, 22_050)):
+        step = np.gcd(rate, target)
+        up, down = target // step, rate // step
+        side = 10 * max(up, down)
+        taps = np.sinc(np.arange(-side, side + 1) / max(up, down)) * np.kaiser(2 * side + 1, 5.0)
+        stretched = np.zeros(len(x) * up)
+        stretched[::up] = x
+        want = np.convolve(stretched, taps * up / taps.sum())[side : side + len(stretched) : down]
+        got = files.resampled_sound(x, rate, target)
+        assert len(got) == -(-len(x) * up // down) and np.allclose(got, want[: len(got)], atol=1e-5)
+    with pytest.raises(ValueError):
+        files.wave_samples(b"no sound")
