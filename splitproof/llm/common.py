@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship, written
+from ..session import erase, passing, ship, written
 
-__all__ = ["ascii_lower", "numbered", "pick", "table", "written"]
+__all__ = ["ascii_lower", "erase", "numbered", "passing", "pick", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import erase, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,7 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edge table (u, v: longs); the root is the least node of its component.
 
-    Each round writes its edges to the shared folder. Least neighbours are aggregated before they are shuffled, and a node with
+    Each round writes its edges to the shared folder, and the ones before are deleted. Least neighbours are aggregated before they are shuffled, and a node with
     many neighbours meets them in a join that adaptive execution may split; no task gathers a component. Loops and repeated
     edges change nothing; no edges give no rows. It ends when a round changes nothing, after O(log^2 n) rounds.
     """
@@ -31,5 +31,6 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     while (now := mark(edges)) != before and now[0]:
-        before, edges = now, written(_star(_star(edges, True), False), "edges")
+        before, old, edges = now, edges, written(_star(_star(edges, True), False), "edges")
+        erase(old)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -31,7 +31,7 @@ from .common import pick
 
 GRAIN = 32
 #: Bytes that are searched for triggers at once, and the bits of a place in them; longer texts are cut (their strings are not).
-_PIECE, _PLACE = 1 << 21, 22
+_PIECE, _PLACE = 1 << 19, 22
 #: A trigger is hot if a sample of SAMPLE documents or so has it at least HOT times; there are at most HOTTEST of them. Their words are dealt out by name as well.
 SAMPLE, HOT, HOTTEST, SALTS = 2_000, 20, 20_000, 64
 #: Words of one trigger that a shard sorts together at most. Those of a trigger with more are compared string by string, by 128-bit hashes.
