@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import LongType
 
 from ..session import ship
 
@@ -83,20 +83,18 @@ def nearest(base: DataFrame, queries: DataFrame, runs: int = 0) -> DataFrame:
     return best.select(*(["run"] if runs else []), "id", "b.nn_id", "b.nn_label")
 
 
-def perceptual_bits(pixels: Column) -> Column:
+@F.pandas_udf(LongType())
+def perceptual_bits(pixels: pd.Series) -> pd.Series:
     """The 64-bit hash of 32 x 32 grey values (an array of 1,024, row by row): the 8 x 8 lowest coefficients of an orthonormal
     DCT-II, and of each whether it is over the median of all but the first; first coefficient in the top bit."""
-    return median_bits(_coefficients(pixels))
-
-
-@F.pandas_udf(ArrayType(DoubleType()))
-def _coefficients(pixels: pd.Series) -> pd.Series:
+    if not len(pixels):
+        return pd.Series([], dtype="int64")
     k = np.arange(32)
     basis = np.sqrt(np.where(np.arange(8) == 0, 1, 2) / 32)[:, None] * np.cos(np.pi * (2 * k + 1)[None, :] * np.arange(8)[:, None] / 64)
-    if not len(pixels):
-        return pd.Series([], dtype=object)
     x = np.stack([np.asarray(p, np.float64) for p in pixels]).reshape(-1, 32, 32)
-    return pd.Series(list((basis @ x @ basis.T).reshape(-1, 64)))
+    z = (basis @ x @ basis.T).reshape(-1, 64)
+    over = z > np.sort(z[:, 1:], 1)[:, 31:32]
+    return pd.Series(np.packbits(over, 1).view(">i8").ravel().astype(np.int64))
 
 
 def median_bits(vector: Column) -> Column:

@@ -134,7 +134,7 @@ def protocol_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predicted(roles: DataFrame, rows: DataFrame, *run: str) -> DataFrame:
     """(run columns, rel, nn): for each test row of each run its nearest train row, all runs in one pass. Runs are counted by parameters, not rows."""
     names = roles.select(*run).distinct().orderBy(*run).collect()
-    numbered = F.broadcast(roles.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(names)], roles.select(*run).schema.add("run", "int")))
+    numbered = F.broadcast(roles.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(names)], roles.select(*run).schema.add("run", "integer")))
     bits = roles.join(numbered, [*run]).groupBy("rel", "role").agg(F.sum(F.expr("shiftleft(1L, run)")).alias("runs"))
     vectors = rows.select(F.col("rel").alias("id"), "vector")
     side = lambda role: vectors.join(bits.where(F.col("role") == role).select(F.col("rel").alias("id"), "runs"), "id")
@@ -182,8 +182,7 @@ def protocol_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Arms: the first tree's train rows; the second's, whole, or as many of each class as the first has (or as there are). Targets: both trees' test rows.
-ARMS = f"""{RUNS.split(", seeds AS")[0].rstrip()}
-), pool AS (SELECT z.*, tree = a AS own FROM zoned z, trees WHERE tree IN (a, b)
+ARMS = f"""{RUNS.split(", seeds AS")[0].rstrip()}, pool AS (SELECT z.*, tree = a AS own FROM zoned z, trees WHERE tree IN (a, b)
 ), quota AS (SELECT zone, count(*) FILTER (own) AS n FROM pool WHERE split = 'train' GROUP BY zone
 ), drawn AS (SELECT seed, rel FROM (SELECT seed, rel, zone, row_number() OVER (PARTITION BY seed, zone ORDER BY {_draw("'arm'", "seed", "rel")}, rel) AS i FROM pool, (SELECT unnest(range({SEEDS})) AS seed) WHERE NOT own AND split = 'train') JOIN quota USING (zone) WHERE i <= n
 ), arms AS (SELECT 'a_trained' AS arm, 0 AS seed, rel FROM pool WHERE own AND split = 'train' UNION ALL SELECT 'b_trained_full', 0, rel FROM pool WHERE NOT own AND split = 'train' UNION ALL SELECT 'b_trained_matched', seed, rel FROM drawn
@@ -245,9 +244,9 @@ _PIXEL = "((vec_id + 1) * (k * k * 7 + k * 13 + 17)) % 251"
 @query(f"""WITH px AS (SELECT vec_id, k // 32 AS i, k % 32 AS j, ({_PIXEL})::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1024)) AS k)
 ), c AS (SELECT u, i, cos(pi() * (2 * i + 1) * u / 64) * sqrt((CASE WHEN u = 0 THEN 1 ELSE 2 END) / 32) AS c FROM (SELECT unnest(range(8)) AS u), (SELECT unnest(range(32)) AS i)
 ), y AS (SELECT vec_id, u, j, sum(c * x) AS y FROM px JOIN c USING (i) GROUP BY ALL
-), z AS MATERIALIZED (SELECT vec_id, y.u * 8 + c.u AS at, sum(y * c) AS z FROM y JOIN c ON c.i = y.j GROUP BY vec_id, y.u, c.u
-), m AS (SELECT vec_id, list_sort(list(z) FILTER (at > 0))[32] AS m FROM z GROUP BY vec_id)
-SELECT vec_id, string_agg((z > m)::INT::VARCHAR, '' ORDER BY at) AS bits FROM z JOIN m USING (vec_id) GROUP BY vec_id""")
+), z AS MATERIALIZED (SELECT vec_id, y.u * 8 + c.u AS nth, sum(y * c) AS z FROM y JOIN c ON c.i = y.j GROUP BY vec_id, y.u, c.u
+), m AS (SELECT vec_id, list_sort(list(z) FILTER (nth > 0))[32] AS m FROM z GROUP BY vec_id)
+SELECT vec_id, string_agg((z > m)::INT::VARCHAR, '' ORDER BY nth) AS bits FROM z JOIN m USING (vec_id) GROUP BY vec_id""")
 def perceptual_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashes of 32 x 32 grey values made from ids."""
     pixels = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(1023).cast("long")), lambda k: (((F.col("vec_id") + 1) * (k * k * 7 + k * 13 + 17)) % 251).cast("double"))
@@ -259,7 +258,7 @@ def perceptual_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT a.label AS a, b.label AS b, c.label AS c, e.label AS e, g.label AS g FROM d a, d b, d c, d e, d g WHERE a.label < b.label AND a.label < c.label AND c.label < e.label AND len(list_distinct([a.label, b.label, c.label, e.label, g.label])) = 5
 ), parts AS (SELECT a || '+' || b || '|' || c || '+' || e || '|' || g AS partition, unnest([a, b, c, e, g]) AS label, unnest([0, 0, 1, 1, 2]) AS block FROM picked
 ), five AS (SELECT protocol, truth, pred, n FROM (SELECT protocol, six AS truth, six_pred AS pred, count(*) AS n FROM nn GROUP BY ALL) WHERE truth < 5 AND pred < 5
-), base AS (SELECT max(v) - min(v) AS spread FROM (SELECT (sum(n) FILTER (truth = pred) / sum(n) - 0.2::DOUBLE) / 0.8::DOUBLE AS v FROM five GROUP BY protocol)
+), base AS (SELECT max(v) - min(v) AS spread FROM (SELECT (coalesce(sum(n) FILTER (truth = pred), 0) / sum(n) - 0.2::DOUBLE) / 0.8::DOUBLE AS v FROM five GROUP BY protocol)
 ), swept AS (SELECT partition, protocol, (coalesce(sum(n) FILTER (x.block = y.block), 0) / sum(n) - 1 / 3.0::DOUBLE) / (2 / 3.0::DOUBLE) AS v FROM five JOIN parts x ON x.label = truth JOIN parts y USING (partition) WHERE y.label = pred GROUP BY ALL
 ), spreads AS (SELECT partition, max(v) - min(v) AS spread FROM swept GROUP BY partition)
 SELECT partition, round(spreads.spread, 7) AS spread, round(1 - spreads.spread / nullif(base.spread, 0), 6) AS reduction, spreads.spread < base.spread AS more_stable, round(avg((spreads.spread < base.spread)::INT) OVER (), 7) AS share_more_stable FROM spreads, base""")

@@ -71,10 +71,10 @@ def leave_one_person_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.fold_totals(rows, "person", "value").select("fold", "role", "n", F.round(F.col("total") / F.col("n"), 6).alias("mean"))
 
 
-@query(f"""WITH {FRAMED}, p AS (SELECT user_id % 3 AS person, event_id FROM framed) SELECT f.fold, CASE WHEN p.person = f.fold THEN 'test' ELSE 'train' END AS role, count(*) AS n, sum(event_id)::BIGINT AS ids FROM p, (SELECT DISTINCT person AS fold FROM p) f GROUP BY ALL""")
+@query("""WITH p AS (SELECT user_id % 3 AS person, event_id FROM events) SELECT f.fold, CASE WHEN p.person = f.fold THEN 'test' ELSE 'train' END AS role, count(*) AS n, sum(event_id)::BIGINT AS ids FROM p, (SELECT DISTINCT person AS fold FROM p) f GROUP BY ALL""")
 def leave_one_out_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R10, as a table of every row in every fold."""
-    rows = framed(spark, sf_dir).select("event_id", (F.col("user_id") % 3).alias("person"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % 3).alias("person"))
     return op.leave_one_out(rows, "person").groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 

@@ -36,7 +36,7 @@ def latest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gated_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the reference's period of 1.5 seconds, and a gate."""
     out = op.fired(events(spark, sf_dir), "1500 milliseconds", gate=(F.col("event_type") == "click") & (F.col("value") >= 10))
-    return out.select("user_id", (F.unix_micros("start") / 1e6).alias("start"), "event_id")
+    return out.select("user_id", (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', start)") / 1e6).alias("start"), "event_id")
 
 
 @query("""SELECT user_id, epoch(time_bucket(INTERVAL '3 seconds', ts, TIMESTAMP '1970-01-01'))::BIGINT + 3 AS at, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2""")

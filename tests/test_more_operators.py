@@ -68,7 +68,7 @@ def test_edges_left_out(spark):
 
 @pytest.mark.parametrize("size", [1, 2, 3, 7, 97, 1000])
 def test_permutations(spark, size):
-    rows = spark.range(size).select(F.col("id").alias("place"), F.explode(F.array(F.lit(0), F.lit(1))).cast("long").alias("r"))
+    rows = spark.range(size).select(F.col("id").alias("place"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("r"))
     out = rows.select("place", "r", resampling.permuted(F.col("place"), F.col("r"), F.lit(size).cast("long"), 7).alias("to")).collect()
     for r in (0, 1):
         assert sorted(x.to for x in out if x.r == r) == list(range(size))
