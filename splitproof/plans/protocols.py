@@ -14,10 +14,8 @@ from ..operators.records import records
 from ..session import scratch, written
 from . import risk
 from .catalog import query
-from .resampling import _draw
+from .resampling import SEEDS, _draw
 
-#: Seeds of the repeated protocols (the reference's own are ten other numbers).
-SEEDS = 10
 #: Near copies of vectors: every sixth vector stands for its predecessor with two coefficients negated.
 _TURNED = "id % 6 = 1"
 

@@ -17,11 +17,13 @@ def _draw(*parts: str) -> str:
     return "('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 13))::BIGINT"
 
 
-_SEEDS = "seeds AS (SELECT unnest(range(3)) AS seed)"
+#: Seeds of the repeated protocols, as many as the reference's default.
+SEEDS = 10
+_SEEDS = f"seeds AS (SELECT unnest(range({SEEDS})) AS seed)"
 
 
 def seeds(spark: SparkSession) -> DataFrame:
-    return spark.range(3).withColumnRenamed("id", "seed")
+    return spark.range(SEEDS).withColumnRenamed("id", "seed")
 
 
 #: A naive split of the rows and a split of leakage groups, for each seed.

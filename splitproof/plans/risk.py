@@ -170,11 +170,28 @@ def _certified(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([f, pd.DataFrame([{k: v if isinstance(v, bool) else round(float(v), 9) for k, v in c.items()} for c in found])], axis=1)
 
 
-@query()
+#: Parameters small enough to be searched.
+CERTIFIED = ((20, 4, 3, 9), (24, 6, 4, 12), (30, 8, 4, 15), (20, 4, 2, 9), (200, 30, 12, 40))
+_VERDICTS = ", ".join(
+    f"(SELECT bool_and(step >= -1e-12) FROM steps s WHERE s.id = b.id AND kernel = '{n}') AS {n}_rises, (SELECT bool_and(bend <= 1e-12) FROM steps s WHERE s.id = b.id AND kernel = '{n}') AS {n}_concave, "
+    f"(SELECT abs(low - {n}_low) < 1e-8 AND abs(high - {n}_high) < 1e-8 FROM best WHERE best.id = b.id AND kernel = '{n}') AS {n}_agrees, {n}_low, {n}_high"
+    for n in ("crossing", "exposed")
+)
+
+
+@query(f"""WITH RECURSIVE params AS (SELECT row_number() OVER () AS id, m::BIGINT AS m, t::BIGINT AS t, g::BIGINT AS g, files::BIGINT AS files, NULL::BIGINT AS cap FROM (VALUES {", ".join(map(str, CERTIFIED))}) v(m, t, g, files)
+), {BOUNDS}, sized AS (SELECT *, unnest(range(2, files - 2 * (g - 1) + 1)) AS size FROM params
+), kernels AS (SELECT id, g, files, 'crossing' AS kernel, size, 1 - {_q("t")} - {_q("(m - t)")} AS v FROM sized UNION ALL SELECT id, g, files, 'exposed', size, size * t / m - size * {_q("t")} FROM sized
+), steps AS (SELECT id, kernel, step, lead(step) OVER (PARTITION BY id, kernel ORDER BY size) - step AS bend FROM (SELECT id, kernel, size, lead(v) OVER (PARTITION BY id, kernel ORDER BY size) - v AS step FROM kernels)
+), search(id, kernel, g, files, groups, used, low, high) AS (
+  SELECT id, kernel, g, files, 1, size, v, v FROM kernels
+  UNION ALL SELECT s.id, s.kernel, s.g, s.files, s.groups + 1, s.used + k.size, min(s.low + k.v), max(s.high + k.v) FROM search s JOIN kernels k ON k.id = s.id AND k.kernel = s.kernel WHERE s.groups < s.g AND s.used + k.size + 2 * (s.g - s.groups - 1) <= s.files GROUP BY ALL
+), best AS (SELECT id, kernel, min(low) AS low, max(high) AS high FROM search WHERE groups = g AND used = files GROUP BY id, kernel)
+SELECT m AS population, t AS test, g AS groups, files, {_VERDICTS} FROM bounded b""")
 def theorem_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closed forms against the search, exactly, for small parameters."""
     ship(spark)
-    p = spark.createDataFrame([(20, 4, 3, 9), (24, 6, 4, 12), (30, 8, 4, 15), (20, 4, 2, 9), (200, 30, 12, 40)], "population long, test long, groups long, files long")
+    p = spark.createDataFrame(CERTIFIED, "population long, test long, groups long, files long")
     flags = ", ".join(f"{n}_rises boolean, {n}_concave boolean, {n}_agrees boolean, {n}_low double, {n}_high double" for n in ("crossing", "exposed"))
     return p.mapInPandas(_certified, f"population long, test long, groups long, files long, {flags}")
 
@@ -184,10 +201,28 @@ def _paths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for m, t, h in zip(f["population"], f["test"], f["histogram"], strict=True):
             for goal in ("crossing", "exposed"):
                 rows = exact.greedy_merges(int(m), int(t), {int(p["size"]): int(p["n"]) for p in h}, goal)
-                yield pd.DataFrame([(goal, s, a, b, round(float(c), 9), round(float(e), 9)) for s, a, b, c, e in rows], columns=["objective", "step", "a", "b", "crossing", "exposed"])
+                yield pd.DataFrame([(goal, s, a, b, round(float(c), 7), round(float(e), 7)) for s, a, b, c, e in rows], columns=["objective", "step", "a", "b", "crossing", "exposed"])
 
 
-@query()
+def _at(size: str) -> tuple[str, str]:
+    return f"(1 - {_q('t', size)} - {_q('(m - t)', size)})", f"({size} * t / m - {size} * {_q('t', size)})"
+
+
+_MERGED = tuple(f"{whole} - {a} - {b}" for whole, a, b in zip(_at("(a + b)"), _at("a"), _at("b"), strict=True))
+_LESS = "list_filter(list_transform(h, lambda p: {'size': p.size, 'n': p.n - (p.size = best.a)::INT - (p.size = best.b)::INT + (p.size = best.a + best.b)::INT}), lambda p: p.n > 0)"
+
+
+@query(f"""WITH RECURSIVE {GROUPS}, {RISK}, start AS (SELECT list({{'size': size::BIGINT, 'n': n::BIGINT}} ORDER BY size) AS h, sum(n * {_at("size")[0]}) AS crossing, sum(n * {_at("size")[1]}) AS exposed FROM hist, pop
+), path(objective, step, h, a, b, crossing, exposed) AS (
+  SELECT objective, 0::BIGINT, h, 0::BIGINT, 0::BIGINT, crossing, exposed FROM start, (VALUES ('crossing'), ('exposed')) o(objective)
+  UNION ALL SELECT objective, step + 1, list_sort(CASE WHEN len(list_filter(h, lambda p: p.size = best.a + best.b)) > 0 THEN {_LESS} ELSE list_append({_LESS}, {{'size': best.a + best.b, 'n': 1::BIGINT}}) END), best.a, best.b, crossing + best.c, exposed + best.e FROM (
+    SELECT objective, step, h, crossing, exposed, arg_min({{'a': a, 'b': b, 'c': c, 'e': e}}, CASE WHEN objective = 'crossing' THEN (round(c, 10), round(-e, 10), a, b) ELSE (round(-e, 10), round(c, 10), a, b) END) AS best FROM (
+      SELECT *, {_MERGED[0]} AS c, {_MERGED[1]} AS e FROM (
+        SELECT objective, step, h, crossing, exposed, x.size AS a, y.size AS b FROM (SELECT *, unnest(h) AS x FROM path WHERE step < 25) u, unnest(u.h) w(y) WHERE x.size < y.size OR x.size = y.size AND x.n > 1
+      ), pop
+    ) GROUP BY objective, step, h, crossing, exposed
+  )
+) SELECT objective, step, a, b, round(crossing, 7) AS crossing, round(exposed, 7) AS exposed FROM path WHERE step > 0""")
 def greedy_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merges that change the expectations most, step by step."""
     ship(spark)

@@ -94,13 +94,15 @@ def top_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("doc_id"), F.array_join(F.transform(F.slice(F.array_sort(pairs), 1, 3), lambda s: s["i"].cast("string")), ",").alias("top"))
 
 
-@query("""WITH p AS (SELECT vec_id, unnest(list_zip(embedding[1:8], range(8))) AS z FROM embeddings), s AS (SELECT vec_id, z[2] // 2 AS class, exp(z[1]::DOUBLE) AS e FROM p), q AS (SELECT vec_id, class, sum(e) AS e FROM s GROUP BY vec_id, class)
+@query("""WITH p AS (SELECT vec_id, unnest(list_zip(embedding, range(64))) AS z FROM embeddings), s AS (SELECT vec_id, z[2] // 8 AS class, exp(z[1]::DOUBLE) AS e FROM p), q AS (SELECT vec_id, class, sum(e) AS e FROM s GROUP BY vec_id, class)
 SELECT vec_id, arg_max(class, (e, -class)) AS best, round(max(e) / sum(e), 6) AS probability FROM q GROUP BY vec_id""")
 def remapped_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """softmax of eight values, summed under a map to four classes, and the best; ties to the first class."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "x"))
-    q = e.groupBy("vec_id", F.floor(F.col("i") / 2).alias("class")).agg(F.sum(F.exp(F.col("x").cast("double"))).alias("e"))
-    return q.groupBy("vec_id").agg(F.max_by("class", F.struct("e", -F.col("class"))).alias("best"), F.round(F.max("e") / F.sum("e"), 6).alias("probability"))
+    """softmax of all values, summed under a map to eight classes, and the best; ties to the first class. Each row is worked on where it is read."""
+    part = lambda c: F.aggregate(F.slice("embedding", c * 8 + 1, 8), F.lit(0.0), lambda a, x: a + F.exp(x.cast("double")))
+    sums = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: F.struct(part(c).alias("e"), (-c).alias("c")))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", sums.alias("sums"))
+    best, total = F.array_max("sums"), F.aggregate("sums", F.lit(0.0), lambda a, x: a + x["e"])
+    return e.select("vec_id", (-best["c"]).cast("long").alias("best"), F.round(best["e"] / total, 6).alias("probability"))
 
 
 @query("""SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS largest, array_to_string((list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey))[1:5], ',') AS top5 FROM orders GROUP BY o_custkey""")
