@@ -30,9 +30,9 @@ def ranked(rows: DataFrame, order: str, tie: str, *by: str, out: str = "place",
 def random_split(rows: DataFrame, key: str, seeds: DataFrame, share: float = 0.15) -> DataFrame:
     """For each seed the first round(share * n) rows in a random order are test: adds ``seed`` and ``role``. Half rounds to even."""
     every = rows.withColumn("one", F.lit(1)).join(F.broadcast(seeds.select("seed").withColumn("one", F.lit(1))), "one").drop("one")
-    size = rows.agg(F.bround(F.count(F.lit(1)) * share).cast("long").alias("__quota"))
+    size = rows.agg(F.bround(F.count(F.lit(1)) * share).cast("long"))
     placed = ranked(every.withColumn("__draw", draw(F.col("seed"), key)), "__draw", key, "seed", out="__place")
-    return placed.join(F.broadcast(size)).withColumn("role", F.when(F.col("__place") < F.col("__quota"), "test").otherwise("train")).drop("__draw", "__place", "__quota")
+    return placed.withColumn("role", F.when(F.col("__place") < size.scalar(), "test").otherwise("train")).drop("__draw", "__place")
 
 
 def held_slice(rows: DataFrame, key: str, by: str, share: float, least: int, seed: int | str) -> DataFrame:
@@ -131,7 +131,7 @@ def permuted_conflicts(rows: DataFrame, key: str, group: str, label: str, replic
     packed = counts.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "n"))).alias("classes"), F.sum("n").alias("total"))  # labels are a dimension
     several = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(group)
     some = rows.select(key, group).join(several, group, "left_semi").withColumn("__draw", draw(f"{seed}-place", key)).withColumn("__all", F.lit(0))
-    placed = ranked(some, "__draw", key, "__all").select(group, "place").join(F.broadcast(packed))
+    placed = ranked(some, "__draw", key, "__all").select(group, "place").withColumns({c: packed.select(c).scalar() for c in ("classes", "total")})
     every = placed.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
     at = every.select("replicate", group, "classes", permuted(F.col("place"), F.col("replicate"), F.col("total"), seed).alias("at"))
     place_of = F.aggregate("classes", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).alias("nth")), lambda acc, c: F.struct((acc["upto"] + c["n"]).alias("upto"), (acc["nth"] + F.when(F.col("at") >= acc["upto"] + c["n"], 1).otherwise(0)).alias("nth")))["nth"]

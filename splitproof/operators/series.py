@@ -81,16 +81,16 @@ def leave_one_out(rows: DataFrame, person: str) -> DataFrame:
 def fold_totals(rows: DataFrame, person: str, value: str) -> DataFrame:
     """(fold, role, n, total) of every leave-one-out fold, from one sum for each person: train is all but the person's own."""
     own = rows.groupBy(F.col(person).alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
-    every = own.agg(F.sum("n").alias("all_n"), F.sum("total").alias("all_total"))
+    every = own.withColumns({f"all_{c}": own.agg(F.sum(c)).scalar() for c in ("n", "total")})
     sides = F.array(F.struct(F.lit("test").alias("role"), F.col("n").alias("n"), F.col("total").alias("total")), F.struct(F.lit("train").alias("role"), (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_total") - F.col("total")).alias("total")))
-    return own.join(F.broadcast(every)).select("fold", F.explode(sides).alias("x")).select("fold", "x.*").where("n > 0")
+    return every.select("fold", F.explode(sides).alias("x")).select("fold", "x.*").where("n > 0")
 
 
 def oversampled(rows: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     """Each class repeated whole, and in part, up to the size of the largest: adds ``copy``. Which rows the part has is drawn at random."""
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    most = counts.agg(F.max("n").alias("most"))
+    most = counts.agg(F.max("n")).scalar()
     placed = ranked(rows.withColumn("__draw", draw(seed, key)), "__draw", key, label, out="i").drop("__draw")
-    out = placed.join(counts, label).join(F.broadcast(most))
+    out = placed.join(counts, label).withColumn("most", most)
     copies = F.floor((F.col("most") - 1 - F.col("i")) / F.col("n"))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long")))).drop("i", "n", "most")
