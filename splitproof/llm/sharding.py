@@ -67,21 +67,20 @@ def shard_documents(docs: DataFrame, shards: list[Shard] | None = None, grown: l
 
     Law ``key``: doc_id and the topology decide alone. ``size`` is the text's UTF-8 bytes plus 1; a null text has none, and CRC 0.
     A null doc_id is a key of its own. Rows that repeat get the same shard and slots of their own. An empty table gives no rows.
-    ``slot`` numbers a shard's rows from 0 without gaps: by hash group, then doc_id, CRC and size. Only counts by shard and group
-    (at most shards x SLOT_GROUPS rows) are broadcast.
+    ``slot`` numbers a shard's rows from 0 without gaps: by hash group, then doc_id, CRC and size. A group comes from all three, so that
+    rows that share a doc_id, or have none, are numbered in many tasks. Only counts by shard and group (at most shards x SLOT_GROUPS
+    rows) are broadcast.
     """
     shards = shards or topology()
     grown = grown or [*shards, Shard(max(s.shard for s in shards) + 1, 0, 0, 1.0, max(s.generation for s in shards) + 1)]
 
-    def placed(df: DataFrame) -> DataFrame:
-        df = assigned(df.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), "key", shards, "path")
-        return df.withColumn("shard", F.split("path", "/")[3].cast("int")).withColumn("part", F.conv(F.substring(F.md5("key"), -3, 3), 16, 10).cast("int") % SLOT_GROUPS)
-
-    ids = pick(docs, doc_id="doc_id")
-    before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    starts = placed(ids).groupBy("shard", "part").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     text = pick(docs, doc_id="doc_id", text="text").select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    rows = assigned(placed(text), "key", grown, "grown")
+    placed = assigned(text.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), "key", shards, "path")
+    group = F.md5(F.concat_ws("|", "key", F.col("text_crc32").cast("string"), F.col("size").cast("string")))
+    placed = placed.withColumn("shard", F.split("path", "/")[3].cast("int")).withColumn("part", F.conv(F.substring(group, -3, 3), 16, 10).cast("int") % SLOT_GROUPS)
+    before = W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = placed.groupBy("shard", "part").count().withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    rows = assigned(placed, "key", grown, "grown")
     within = W.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
     rows = rows.withColumn("nth", F.row_number().over(within)).join(F.broadcast(starts), ["shard", "part"])
     step = lambda i: F.split("path", "/")[i].cast("int")

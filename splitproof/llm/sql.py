@@ -30,7 +30,7 @@ WITH bits AS (
   SELECT doc_id, k, max(CASE WHEN n = 16 THEN leaf END) AS leaf, max(CASE WHEN n = 17 THEN leaf END) AS grown FROM leaf_pick GROUP BY doc_id, k
 )
 SELECT s.doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, split_part(leaf, '/', 2)::INT AS region, split_part(leaf, '/', 3)::INT AS rack, split_part(leaf, '/', 4)::INT AS shard,
-  (row_number() OVER (PARTITION BY split_part(leaf, '/', 4) ORDER BY ('0x' || right(md5(s.k), 3))::INT, s.doc_id, text_crc32, size) - 1)::BIGINT AS slot, split_part(grown, '/', 4)::INT AS grown_shard
+  (row_number() OVER (PARTITION BY split_part(leaf, '/', 4) ORDER BY ('0x' || right(md5(s.k || '|' || text_crc32 || '|' || size), 3))::INT, s.doc_id, text_crc32, size) - 1)::BIGINT AS slot, split_part(grown, '/', 4)::INT AS grown_shard
 FROM sized s JOIN placed p ON s.k = p.k
 """
 
