@@ -116,10 +116,14 @@ def permuted(place: Column, replicate: Column, size: Column, seed: int) -> Colum
         start = F.struct(F.floor(v / b).cast("long").alias("x"), (v % b).alias("y"))
         return F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, turn, lambda acc: acc["x"] * b + acc["y"])
 
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(-1).cast("long"), lambda v, i: F.when((i == 1) | (v >= size), network(F.when(i == 1, place).otherwise(v))).otherwise(v))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(16)), F.lit(-1).cast("long"), lambda v, i: F.when((i == 1) | (v >= size), network(F.when(i == 1, place).otherwise(v))).otherwise(v))
     return F.when(walked < size, walked).otherwise(F.raise_error(F.lit("a permutation did not end")))
 
 
+#: Parts that the replicates of a permutation null are dealt out in.
+DEALT = 64
+
+
 def permuted_conflicts(rows: DataFrame, key: str, group: str, label: str, replicates: int, seed: int = 1729) -> DataFrame:
     """(replicate, conflicted): duplicate groups with several labels after labels are dealt to rows at random, without replacement.
 
@@ -132,8 +136,18 @@ def permuted_conflicts(rows: DataFrame, key: str, group: str, label: str, replic
     several = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(group)
     some = rows.select(key, group).join(several, group, "left_semi").withColumn("__draw", draw(f"{seed}-place", key)).withColumn("__all", F.lit(0))
     placed = ranked(some, "__draw", key, "__all").select(group, "place").withColumns({c: packed.select(c).scalar() for c in ("classes", "total")})
-    every = placed.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
-    at = every.select("replicate", group, "classes", permuted(F.col("place"), F.col("replicate"), F.col("total"), seed).alias("at"))
+    # the rows are few beside the replicates, so that these are dealt out first
+    dealt = placed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(DEALT, replicates) - 1).cast("long")))).repartition(DEALT, "part")
+    every = dealt.withColumn("replicate", F.explode(F.sequence(F.col("part"), F.lit(replicates - 1).cast("long"), F.lit(DEALT).cast("long"))))
+    at = every.withColumn("a", F.ceil(F.sqrt(F.col("total").cast("double"))).cast("long")).withColumn("b", F.ceil(F.col("total") / F.col("a")).cast("long")).withColumn("at", F.col("place"))
+    noise = lambda turn, v: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.lit(str(turn)), F.col(v).cast("string"))), 1, 13), 16, 10).cast("long")
+    for walk in range(3):  # the network of ``permuted`` as plain columns; what is still beyond after three times goes through it itself
+        at = at.withColumn("x", F.floor(F.col("at") / F.col("b")).cast("long")).withColumn("y", F.col("at") % F.col("b"))
+        for turn, (v, w, most) in enumerate((("x", "y", "a"), ("y", "x", "b"), ("x", "y", "a"), ("y", "x", "b")), 1):
+            at = at.withColumn(v, (F.col(v) + noise(turn, w)) % F.col(most))
+        landed = F.col("x") * F.col("b") + F.col("y")
+        at = at.withColumn("at", landed if not walk else F.when(F.col("at") < F.col("total"), F.col("at")).otherwise(landed))
+    at = at.withColumn("at", F.when(F.col("at") < F.col("total"), F.col("at")).otherwise(permuted(F.col("place"), F.col("replicate"), F.col("total"), seed))).select("replicate", group, "classes", "at")
     place_of = F.aggregate("classes", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).alias("nth")), lambda acc, c: F.struct((acc["upto"] + c["n"]).alias("upto"), (acc["nth"] + F.when(F.col("at") >= acc["upto"] + c["n"], 1).otherwise(0)).alias("nth")))["nth"]
     per = at.select("replicate", group, place_of.alias("dealt")).groupBy("replicate", group).agg((F.min("dealt") != F.max("dealt")).alias("several"))
     return per.groupBy("replicate").agg(F.count_if("several").alias("conflicted"))
