@@ -1,7 +1,8 @@
 """The pipeline's near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-At 0.8 two 64-bit SimHashes differ in about 10 bits, far beyond what segments with balls of radius 1 reach, so candidates come from
-an index of the sets' prefixes instead. In any order of all shingles, two sets that are 0.8 alike share one of the first
+Candidates come from operator 3's multi-index over the sets' 64-bit SimHashes, which gives those that differ in 3 bits or fewer. At
+0.8 two SimHashes differ in about 10 bits, beyond what segments with balls of radius 1 reach, so an index of the sets' prefixes gives
+the rest. In any order of all shingles, two sets that are 0.8 alike share one of the first
 n - ceil(0.8 n) + 1 of each, so that no pair is missed, and candidates are verified on the whole sets. The order is by hash, with
 the shingles that are frequent in a sample last, so that few documents meet at a common passage.
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import numbered, pick, written
 from .components import components
-from .simhash import _BITS, _COLUMN
+from .simhash import _BITS, _COLUMN, links
 
 WIDTH, WIDE, SMALL, WIDEST = 5, 44, 64, 4_096
 #: The shingles that OFTEN or more documents of a sample of about SAMPLE share, FREQUENT of them at most, come last in the order.
@@ -292,11 +293,20 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return written(pairs.join(left, "u").join(right, "v").select("u", "v", "u_set", "v_set").mapInArrow(check, "u long, v long"), "alike")
 
 
+def _indexed(sets: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) of operator 3's multi-index: what connects the sets whose SimHashes are equal, and those 3 bits or fewer apart."""
+    points = written(sets.groupBy("fp").agg(F.min("node").alias("first")), "points")
+    equal = sets.select("fp", "node").distinct().join(points, "fp").where("node != first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    ends = (points.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first")) for c in "uv")
+    near = links(points.select("fp")).join(next(ends), "u").join(next(ends), "v")
+    return equal.unionByName(near.select(F.least("u_first", "v_first").alias("u"), F.greatest("u_first", "v_first").alias("v")))
+
+
 def near_copy_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, node, component_id) for every row of (doc_id, text): component_id is the least doc_id that pairs 0.8 alike or more reach.
 
-    Equal sets are one node; texts without words are one too. Pairs are sought in two rounds: first each set's KEPT
-    nearest among those it meets at a shingle, so that they grow with the sets however dense a group;
+    Equal sets are one node; texts without words are one too. Pairs are sought in two rounds: first those of the multi-index and each
+    set's KEPT nearest among those it meets at a shingle, so that they grow with the sets however dense a group;
     then, at each shingle, all pairs that verified links have not connected. Nulls and repeated rows are treated as in ``simhash.near_groups``.
     """
     slim = pick(docs, doc_id="doc_id", text="text")
@@ -306,7 +316,7 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t) for t in batch["text"].to_pylist()]
-            yield pa.record_batch({"doc_id": batch["doc_id"], "node": pa.array(map(_node, found), pa.int64()), "parity": pa.array(map(_parity, found), pa.binary())})
+            yield pa.record_batch({"doc_id": batch["doc_id"], "node": pa.array(map(_node, found), pa.int64()), "fp": pa.array(map(_simhash, found), pa.int64()), "parity": pa.array(map(_parity, found), pa.binary())})
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,12 +328,12 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
             rows = np.concatenate(parts) if parts else np.empty((0, 6), np.int64)
             yield pa.record_batch({c: np.ascontiguousarray(rows[:, k]) for c, k in (("token", 0), ("node", 2), ("n", 3), ("p", 1), ("a", 4), ("b", 5))})
 
-    rows = written(slim.mapInArrow(name, f"doc_id {kind}, node long, parity binary"), "sets")
+    rows = written(slim.mapInArrow(name, f"doc_id {kind}, node long, fp long, parity binary"), "sets")
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
     meetings = written(_dealt(slim.select("text").mapInArrow(index, _TABLE)).mapInArrow(_met, _TABLE), "meetings")
     spanning = _dealt(meetings).mapInArrow(_pairs(False), "node long, bits long, other long")
     kept = spanning.repartition("node").sortWithinPartitions("node", "bits", "other").mapInArrow(_kept, "u long, v long")
-    found = _verified(kept, nodes, docs)
+    found = _verified(kept.unionByName(_indexed(rows)), nodes, docs)
     roots = written(components(found), "roots")
     rooted = meetings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # a token whose sets are connected already has no pair to give; tokens are judged on partial sums, so that large groups of copies go here

@@ -26,6 +26,19 @@ def test_parities_differ_in_no_more_cells_than_sets_in_shingles():
         assert m._apart(m._parity(x), m._parity(x)) == 0
 
 
+def test_the_multi_index_links_without_the_prefixes(spark, monkeypatch):
+    rng, docs = random.Random(3), []
+    while len(docs) < 8:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        texts = " ".join(words), " ".join(changed(words, rng, 1))
+        bits = [m._simhash(m.shingles(t)) for t in texts]
+        if 0 < ((bits[0] ^ bits[1]) & (2**64 - 1)).bit_count() <= 3:
+            docs += [(len(docs), texts[0]), (len(docs) + 1, texts[1])]
+    monkeypatch.setattr(m, "_prefix", lambda x, frequent, counts: x[:0])
+    got = {r.doc_id: r.component_id for r in m.near_copy_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(8)}
+
+
 def test_a_family_that_is_not_alike_gives_few_candidates(spark, monkeypatch):
     rng, asked, verified = random.Random(4), [], m._verified
     words = [f"w{i}" for i in range(600)]
