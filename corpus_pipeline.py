@@ -57,7 +57,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: all columns, the tokens, their number, and whether decoding gives the text back. Null and empty texts have none, and give back the empty text."""
     names = [*docs.columns, "n_tokens", "ids", "round_trip"]
-    out = with_tokens(docs, TOKENIZER)
+    out = with_tokens(docs, TOKENIZER, keep=False)
     out = out.toDF(*[f"__c{i}" for i in range(len(out.columns))])
     kept = [F.col(f"__c{i}") for i in range(len(names) - 1)]
     same = F.col(f"__c{len(names) - 1}") == F.coalesce(F.col(f"__c{docs.columns.index('text')}"), F.lit(""))

@@ -215,6 +215,10 @@ class Pieces(dict):
     def __init__(self, make: Callable[[str], Any]):
         self.make, self.old = make, {}
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
     def __missing__(self, piece: str) -> Any:
         value = self.old.get(piece)
         if value is None:
@@ -297,6 +301,12 @@ class Encoder:
                         out.append(b"".join(map(self.later.__getitem__, group[1:])))
         return np.frombuffer(b"".join(out), np.uint32)
 
+    def forget(self) -> None:
+        """Empties the caches, some hundred MB that a worker would else hold through the tasks of other stages."""
+        for cache_ in (self.first, self.later, self.v._known):
+            cache_.forget()
+        self.v._fits.clear()
+
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has). Each distinct piece is looked up once; the texts' ids are gathered from those of their pieces."""
         cut = Batch(texts, list(self.v.special))
@@ -337,12 +347,13 @@ def decoded(v: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.array([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string())
 
 
-def with_tokens(docs: DataFrame, path: str) -> DataFrame:
+def with_tokens(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
     """``docs``, all columns kept, with ``n_tokens`` (long), ``ids`` (array<int>) and ``decoded`` (string) after its own.
 
     A null text counts as the empty text, which has no tokens. Special strings inside a text become their special tokens.
     Rows that repeat come out alike; an empty table gives no rows. No shuffle: each row is encoded where it is read, and pieces
-    that texts of some megabytes share are looked up once.
+    that texts of some megabytes share are looked up once. ``keep``: whether workers keep their caches after each of these lookups;
+    if not, encoding takes more time, and less memory during and after it.
     """
     rows = numbered(docs).withColumn("__text", F.coalesce(F.col(f"__c{docs.columns.index('text')}"), F.lit("")))
 
@@ -351,6 +362,8 @@ def with_tokens(docs: DataFrame, path: str) -> DataFrame:
         for whole in batches:
             for batch in slices(whole):
                 ids, counts = encode.batch(batch["__text"])
+                if not keep:
+                    encode.forget()
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), pa.array(ids))
                 own = [batch[n] for n in batch.schema.names[:-1]]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), lists, decoded(v, ids, counts)], [*batch.schema.names[:-1], "__n", "__ids", "__decoded"])
